@@ -12,11 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared folder of spark.checkpoint.dir."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share."""
+    context = spark.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))  # one machine only: nothing is set
+    return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -33,6 +39,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     the edges no longer change; their number never grows.
     """
     edges = cut(_down(edges.select("a", "b")))
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     before = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
