@@ -1,0 +1 @@
+"""Whole comparisons and their reports."""

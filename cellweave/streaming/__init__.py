@@ -1,0 +1 @@
+"""Streams: a comparison is a batch operation; use run_diff in foreachBatch."""
