@@ -136,7 +136,7 @@ def _sql(name: str) -> str:
 
 def _csv(spark: SparkSession, spec: Spec, all_varchar: bool) -> BoundSource:
     tab = spec.path.rstrip("/").lower().endswith(".tsv")
-    return bind_frame(spark.read.csv(spec.path, header=True, sep="\t" if tab else ",", inferSchema=not all_varchar, quote='"', escape='"', multiLine=True, preferDate=True))
+    return bind_frame(spark.read.csv(spec.path, header=True, sep="\t" if tab else ",", inferSchema=not all_varchar, quote='"', escape='"', multiLine=True))
 
 
 def _table(spark: SparkSession, spec: Spec, _: bool) -> BoundSource:
