@@ -39,9 +39,9 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FEATURES = {
     "x0": ("log(n_words + 1.0)", 0.25),
     "x1": ("log(word_chars / n_words)", 0.05),
-    "x2": ("sqrt(n_symbols / word_chars)", 0.05),
-    "x3": ("sqrt(n_dup_lines / n_lines)", 0.10),
-    "x4": ("sqrt(n_repeat_words / n_words)", 0.10),
+    "x2": ("sqrt(n_symbols / word_chars)", 0.04),
+    "x3": ("sqrt(n_dup_lines / n_lines)", 0.15),
+    "x4": ("sqrt(n_repeat_words / n_words)", 0.15),
     "x5": ("sqrt(n_upper / word_chars)", 0.05),
 }
 BINS, KEEP, STEPS = 512, 0.75, 4
