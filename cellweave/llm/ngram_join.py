@@ -6,13 +6,14 @@ n - ceil(t*n) + 1, so documents meet only in the lists of those prefix shingles.
 
 1. Documents with the same prefix and size form a group, and only groups are
    listed; copies never meet one by one.
-2. Lists of up to `hot` groups give group pairs, filtered by size.  Pairs are
-   expanded to their members (distinct sets), and each is verified exactly.
-3. Longer lists, and groups of many members, are joined into components
-   instead.  Those are cut into blocks by size and hash, and each pair of blocks
-   that could link is verified in one task by matrix products.  A task holds two
-   blocks at most, whatever the size of the component, and returns a spanning
-   forest, so no list of all pairs of a large cluster exists.
+2. Lists of up to `hot` groups give pairs of groups, kept if their sizes are near
+   and they share enough prefix shingles; in longer lists each group is tied to
+   the next in size.  Pairs and groups are expanded to their members (distinct
+   sets), and what is tied together is a cluster.
+3. All pairs of a cluster that could link are verified exactly, by matrix
+   products.  Large clusters are cut into blocks by size and hash: a task holds
+   two blocks at most, whatever the size of the cluster, and returns a spanning
+   forest and the number of links of each set, so no list of all pairs exists.
 4. Components of the verified links give each document its smallest partner.
 
 Order: shingles counted often are ranked by their count, all others stand before
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +40,12 @@ from . import textops as T
 from .support import components, cut, width
 
 _POSTING = np.dtype([("t", "u8"), ("g", "u8"), ("n", "u4")])
-_DOC = np.dtype([("d", "i8"), ("null", "u1"), ("n", "u4"), ("g", "u8"), ("s", "u8")])
+_DOC = np.dtype([("d", "i8"), ("null", "u1"), ("n", "u4"), ("g", "u8"), ("s", "u8"), ("h", "i8")])
+_PAIR = np.dtype([("g1", "u8"), ("g2", "u8"), ("n1", "u4"), ("n2", "u4"), ("hot", "u1")])
 _CHUNK = 1 << 21  # shingles counted together
 _SEEN = 1 << 20  # sets remembered by a task to skip copies
 RANKED = 200_000  # shingles with a rank by count
+ELEMENTS = 4_000_000  # shingles of a block
 
 
 def shingle_sets(texts: pa.Array, k: int, how: T.Splitter = T.SPACED_LOWER) -> Iterator[tuple[int, np.ndarray]]:
@@ -154,6 +158,7 @@ def _index(k: int, percent: int, buckets: int, ranked: np.ndarray):
             null = np.asarray(ids.is_null(), dtype=bool) if ids.null_count else np.zeros(len(ids), bool)
             docs = np.zeros(len(ids), _DOC)
             docs["d"], docs["null"] = ids.fill_null(0).to_numpy(zero_copy_only=False), null
+            docs["h"] = T.column(batch, "text_hash").to_numpy()
             for i, s in shingle_sets(T.column(batch, "text"), k):
                 if not len(s):
                     continue
@@ -162,7 +167,7 @@ def _index(k: int, percent: int, buckets: int, ranked: np.ndarray):
                 keys = order.keys(s)
                 prefix = np.sort(np.partition(keys, p - 1)[:p] if p < n else keys)
                 group = T.mix(T.windows(prefix, p) + np.uint64(n))[0]
-                docs[i] = (docs[i]["d"], docs[i]["null"], n, group, set_id(s))
+                docs["n"][i], docs["g"][i], docs["s"][i] = n, group, set_id(s)
                 if int(group) not in seen:
                     if len(seen) >= _SEEN:
                         seen.clear()
@@ -185,7 +190,7 @@ def _unpack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blob in T.column(batch, "blob"):
             x = np.frombuffer(blob.as_buffer(), _DOC)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x["d"].copy(), mask=x["null"].astype(bool)), pa.array(x["n"].astype(np.int64)), pa.array(x["g"].copy().view(np.int64)), pa.array(x["s"].copy().view(np.int64))], ["doc_id", "n", "g", "s"]
+                [pa.array(x["d"].copy(), mask=x["null"].astype(bool)), pa.array(x["n"].astype(np.int64)), pa.array(x["g"].copy().view(np.int64)), pa.array(x["s"].copy().view(np.int64)), pa.array(x["h"].copy())], ["doc_id", "n", "g", "s", "text_hash"]
             )
 
 
@@ -208,60 +213,70 @@ def _meet(percent: int, hot: int):
         t, g, n = x["t"], x["g"], x["n"].astype(np.int64)
         _, place, length = np.unique(t, return_inverse=True, return_counts=True)
         long = (length > hot)[place] if len(t) else np.zeros(0, bool)
-        found = []
+        found = [np.zeros(0, _PAIR)]
         for d in range(1, max(hot, 1)):
             i = np.flatnonzero((t[d:] == t[:-d]) & ((d == 1) | ~long[d:])) if d < len(t) else ()
             if not len(i):
                 break
             i = i[percent * n[i + d] <= 100 * n[i]]
-            found.append(np.stack([np.minimum(g[i], g[i + d]), np.maximum(g[i], g[i + d]), long[i].astype(np.uint64)], 1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.uint64)
-        return pa.table({"g1": pairs[:, 0].copy().view(np.int64), "g2": pairs[:, 1].copy().view(np.int64), "hot": pairs[:, 2].astype(bool)})
+            pairs = np.empty(len(i), _PAIR)
+            swap = g[i] > g[i + d]
+            pairs["g1"], pairs["g2"] = np.where(swap, g[i + d], g[i]), np.where(swap, g[i], g[i + d])
+            pairs["n1"], pairs["n2"] = np.where(swap, n[i + d], n[i]), np.where(swap, n[i], n[i + d])
+            pairs["hot"] = long[i]
+            found.append(pairs)
+        pairs, shared = np.unique(np.concatenate(found), return_counts=True)
+        columns = {x: pairs[x].astype(np.int64) if x[0] == "n" else pairs[x].copy().view(np.int64) for x in ("g1", "g2", "n1", "n2")}
+        return pa.table(columns | {"hot": pairs["hot"].astype(bool), "shared": shared.astype(np.int64)})
 
     return run
 
 
 def _sets(k: int):
+    """Adds the shingles of each text; rows whose text is not the set meant (a shared id) go."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["s", "copies", "cluster", "pieces"]
         for batch in batches:
+            meant = T.column(batch, "s").to_numpy().view(np.uint64)
+            at: list[int] = []
             held: list[np.ndarray] = []
             size = 0
-            for _, s in shingle_sets(T.column(batch, "text"), k):
-                held.append(s)
-                size += len(s)
-                if size >= _CHUNK:
-                    yield _as_batch(held)
-                    held, size = [], 0
-            yield _as_batch(held)
+            for i, s in shingle_sets(T.column(batch, "text"), k):
+                if len(s) and set_id(s) == meant[i]:
+                    at.append(i)
+                    held.append(s)
+                    size += len(s)
+                if held and (size >= _CHUNK or i == len(meant) - 1):
+                    offsets = np.cumsum([0, *(len(x) for x in held)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(held).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([*(T.column(batch, n).take(pa.array(at)) for n in names), lists], [*names, "shingles"])
+                    at, held, size = [], [], 0
 
     return run
 
 
-def _as_batch(sets: list[np.ndarray]) -> pa.RecordBatch:
-    ids = np.array([set_id(s) for s in sets], np.uint64)
-    offsets = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
-    values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["s", "shingles"])
-
-
-def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int, width: int = 4096) -> np.ndarray:
-    """Which sets of a and b have the similarity, as a boolean matrix."""
-    values, inverse = np.unique(np.concatenate([*a, *b]), return_inverse=True)
-    counts = np.bincount(inverse, minlength=len(values))
+def linked(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int, width: int = 4096) -> np.ndarray:
+    """Which sets of a and b (or of a alone) have the similarity, as a boolean matrix."""
+    sets = a if b is None else [*a, *b]
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.cumsum(counts > 1) - 1
-    row = np.repeat(np.arange(len(a) + len(b)), [len(s) for s in (*a, *b)])
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     shared = counts[inverse] > 1
     row, at = row[shared], column[inverse[shared]]
     by = np.argsort(at, kind="stable")
     row, at = row[by], at[by]
-    both = np.zeros((len(a), len(b)), np.float32)
+    right = slice(None) if b is None else slice(len(a), None)
+    sizes = np.array([len(s) for s in sets])
+    both = np.zeros((len(a), len(sizes[right])), np.float32)
     total = int(at[-1]) + 1 if len(at) else 0
+    width = min(width, max(1, total))
     for low in range(0, total, width):
         i, j = np.searchsorted(at, [low, low + width])
-        dense = np.zeros((len(a) + len(b), width), np.float32)
+        dense = np.zeros((len(sets), width), np.float32)
         dense[row[i:j], at[i:j] - low] = 1
-        both += dense[: len(a)] @ dense[len(a) :].T
-    union = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - both
+        both += dense[: len(a)] @ dense[right].T
+    union = sizes[: len(a), None] + sizes[right][None, :] - both
     return 100 * both >= percent * union
 
 
@@ -292,99 +307,111 @@ def _verify_blocks(percent: int):
     """Links between two blocks, or within one: forest edges and link counts (a = b)."""
 
     def run(rows: pa.Table) -> pa.Table:
-        ids = rows.column("s").to_numpy()
-        side = rows.column("side").to_numpy()
-        copies = rows.column("copies").to_numpy()
-        sets = [np.asarray(x.values) for x in rows.column("shingles")]
-        left, right = np.flatnonzero(side <= 1), np.flatnonzero((side == 0) | (side == 2))
+        ids, first = np.unique(rows.column("s").to_numpy(), return_index=True)  # a set may come from rows that share an id
+        side, copies = rows.column("side").to_numpy()[first], rows.column("copies").to_numpy()[first]
+        lists = rows.column("shingles").combine_chunks()
+        values, bounds = np.asarray(lists.flatten()).view(np.uint64), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+        sets = [values[bounds[i] : bounds[i + 1]] for i in first]
+        alone = not side.any()
+        left, right = (np.arange(len(ids)),) * 2 if alone else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
         out: list[tuple[int, int, int]] = []
         if len(left) and len(right):
-            m = linked([sets[i] for i in left], [sets[i] for i in right], percent)
-            m &= ids[left][:, None] != ids[right][None, :]
+            m = linked([sets[i] for i in left], None if alone else [sets[i] for i in right], percent)
+            if alone:
+                np.fill_diagonal(m, False)
             out = [(int(ids[left[i]]), int(ids[right[j]]), 0) for i, j in forest(m)]
-            alone = bool((side == 0).all())
             for own, weight, links in ((left, copies[right], m), *(() if alone else ((right, copies[left], m.T),))):
-                n = links @ weight
-                out += [(int(ids[i]), int(ids[i]), int(c)) for i, c in zip(own, n, strict=True) if c]
+                out += [(int(ids[i]), int(ids[i]), int(c)) for i, c in zip(own, links @ weight, strict=True) if c]
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "links": pa.array([x[2] for x in out], pa.int64())})
 
     return run
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, hot: int = 64, block: int = 1024, small: int = 1_000_000) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links.
+    """One row per document: doc_id, n_shingles, component_id, n_links, component, text_hash.
 
-    n_links counts the other documents it links with.  `hot`: longest list whose
+    n_links counts the other documents it links with; component is the same for
+    linked documents whatever their ids (null without shingles), and text_hash is
+    xxhash64 of the text.  `hot`: longest list whose
     pairs are made one by one.  `block`: sets of a block; blocks of large sets
     hold fewer.  `small`: keys that are broadcast at most; more are joined by a shuffle.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     buckets = width(spark)
-    index = docs.mapInArrow(_index(k, percent, buckets, often_ranked(docs, k)), "kind int, bucket int, blob binary").persist()
+    index = docs.mapInArrow(_index(k, percent, buckets, often_ranked(docs, k)), "kind int, bucket int, blob binary").persist(StorageLevel.DISK_ONLY)
     try:
-        rows = cut(index.where("kind = 1").select("blob").mapInArrow(_unpack_docs, "doc_id long, n long, g long, s long"))
-        met = cut(index.where("kind = 0").select("bucket", "blob").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(percent, hot), "g1 long, g2 long, hot boolean"))
+        rows = cut(index.where("kind = 1").select("blob").mapInArrow(_unpack_docs, "doc_id long, n long, g long, s long, text_hash long"))
+        met = cut(index.where("kind = 0").select("bucket", "blob").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(percent, hot), "g1 long, g2 long, n1 long, n2 long, hot boolean, shared long"))
     finally:
         index.unpersist()
-    members = rows.where("n > 0").groupBy("g", "s", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    members = cut(members)
-    groups = members.groupBy("g").agg(F.count("*").alias("size"), F.min("s").alias("head"))
-    pairs = met.groupBy("g1", "g2").agg(F.max("hot").alias("hot"))
-    sized = [groups.select(F.col("g").alias(f"g{i}"), F.col("size").alias(f"size{i}"), F.col("head").alias(f"head{i}")) for i in (1, 2)]
-    pairs = cut(pairs.join(sized[0], "g1").join(sized[1], "g2").withColumn("hot", F.expr(f"hot or size1 > {hot} or size2 > {hot}")))
-    # groups of many members, and what meets them or in hot lists: components, not pairs
-    crowd = groups.where(F.col("size") > hot).join(members, "g").select(F.col("head").alias("a"), F.col("s").alias("b"))
-    heads = pairs.where("hot").select(F.col("head1").alias("a"), F.col("head2").alias("b"))
-    few = pairs.where("hot").select(F.col("g1").alias("g")).unionByName(pairs.where("hot").select(F.col("g2").alias("g"))).distinct().join(groups.where(F.col("size") <= hot), "g").join(members, "g").select(F.col("head").alias("a"), F.col("s").alias("b"))
-    clusters = components(crowd.unionByName(heads).unionByName(few).unionByName(crowd.select(F.col("a"), F.col("a").alias("b"))))
-    clusters = cut(clusters.withColumnsRenamed({"node": "s", "root": "cluster"}))
-    # the other pairs, expanded to members
-    one = members.select(F.col("g").alias("g1"), F.col("s").alias("a"))
-    two = members.select(F.col("g").alias("g2"), F.col("s").alias("b"))
-    met_sets = pairs.where("not hot").join(one, "g1").join(two, "g2").select("a", "b")
-    within = groups.where((F.col("size") > 1) & (F.col("size") <= hot)).select(F.col("g").alias("g1"), F.col("g").alias("g2")).join(one, "g1").join(two, "g2").where("a < b").select("a", "b")
-    candidates = met_sets.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    in_cluster = [clusters.select(F.col("s").alias(x), F.col("cluster").alias(f"c{x}")) for x in "ab"]
-    candidates = cut(candidates.join(in_cluster[0], "a", "left").join(in_cluster[1], "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b"))
-    needed = candidates.select(F.col("a").alias("s")).unionByName(candidates.select(F.col("b").alias("s"))).unionByName(clusters.select("s")).distinct().join(members.select("s", "rep", "n", "copies"), "s")
-    needed = cut(needed)
-    reps = needed.select("rep").distinct()
-    chosen = docs.join(F.broadcast(reps) if needed.count() <= small else reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = chosen.select("text").mapInArrow(_sets(k), "s long, shingles array<long>").groupBy("s").agg(F.first("shingles").alias("shingles"))
-    sets = sets.join(needed, "s").persist()
-    try:
-        ready = [sets.select(F.col("s").alias(x), F.col("shingles").alias(f"s{x}"), F.col("copies").alias(f"copies{x}")) for x in "ab"]
-        both = candidates.join(ready[0], "a").join(ready[1], "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        found = both.where(f"100 * both >= {percent} * (size(sa) + size(sb) - both)").select("a", "b", "copiesa", "copiesb")
-        found = cut(found)
-        blocks = _blocks(sets.join(clusters, "s"), block)
-        tested = cut(blocks.groupBy("cluster", "low", "x", "high", "y").applyInArrow(_verify_blocks(percent), "a long, b long, links long"))
-    finally:
-        sets.unpersist()
-    links = tested.where("a = b").select(F.col("a").alias("s"), "links").unionByName(found.select(F.col("a").alias("s"), F.col("copiesb").alias("links"))).unionByName(found.select(F.col("b").alias("s"), F.col("copiesa").alias("links"))).groupBy("s").agg(F.sum("links").alias("links"))
-    roots = components(tested.where("a <> b").select("a", "b").unionByName(found.select("a", "b"))).withColumnRenamed("node", "s")
+    members = cut(rows.where("n > 0").groupBy("g", "s", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    groups = members.groupBy("g").agg(F.min("s").alias("head"))
+    # What two sets share up to the end of the prefix that ends first lies in both
+    # prefixes, so a pair that links shares at least `enough` of those shingles, or
+    # some in hot lists, which are not counted here.
+    pairs = met.groupBy("g1", "g2", "n1", "n2").agg(F.max("hot").alias("hot"), F.sum("shared").alias("shared"))
+    prefix = "n{0} - (%d * n{0} + 99) div 100 + 1" % percent
+    overlap = f"({percent} * (n1 + n2) + {99 + percent}) div {100 + percent}"
+    enough = f"least({', '.join(f'{overlap} - n{i} + {prefix.format(i)}' for i in (1, 2))})"
+    heads = [groups.select(F.col("g").alias(f"g{i}"), F.col("head").alias(x)) for i, x in ((1, "a"), (2, "b"))]
+    across = pairs.where(f"hot or shared >= {enough}").select("g1", "g2").join(heads[0], "g1").join(heads[1], "g2").select("a", "b")
+    within = members.join(groups, "g").select(F.col("head").alias("a"), F.col("s").alias("b"))
+    clusters = components(across.unionByName(within)).withColumnsRenamed({"node": "s", "root": "cluster"})
+    needed = cut(clusters.join(members.select("s", "rep", "n", "copies"), "s"))
+    placed = cut(_blocks(needed, block))
+    ready = F.broadcast(placed) if placed.count() <= small else placed
+    chosen = docs.join(ready, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "s", "copies", "cluster", "pieces")
+    sets = chosen.mapInArrow(_sets(k), "s long, copies long, cluster long, pieces array<struct<low:int,x:int,high:int,y:int,side:int>>, shingles array<long>")
+    blocks = sets.select("cluster", F.explode("pieces").alias("p"), "s", "copies", "shingles").select("cluster", "p.*", "s", "copies", "shingles")
+    tested = cut(blocks.groupBy("cluster", "low", "x", "high", "y").applyInArrow(_verify_blocks(percent), "a long, b long, links long"))
+    links = tested.where("a = b").groupBy(F.col("a").alias("s")).agg(F.sum("links").alias("links"))
+    roots = components(tested.where("a <> b").select("a", "b")).withColumnRenamed("node", "s")
     classes = members.join(roots, "s", "left").join(links, "s", "left").withColumn("root", F.coalesce("root", "s"))
     least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = classes.join(least, "root").select("s", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return rows.where("n > 0").join(classes, "s").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").unionByName(empty)
+    classes = classes.join(least, "root").select("s", "root", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component"), "text_hash")
+    return rows.where("n > 0").join(classes, "s").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", F.col("root").alias("component"), "text_hash").unionByName(empty)
+
+
+def first_of_each(docs: DataFrame, small: int = 1_000_000, **how) -> DataFrame:
+    """The rows of `docs` without those linked to an earlier one (by doc_id, null last, then by text).
+
+    Of rows equal in doc_id and text one stays, unless they have no words.
+    """
+    joined = cut(ngram_join(docs, **how))
+    first = joined.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("first"), F.count("*").alias("members"))
+    first = first.where("members > 1")
+    drop = joined.join(first, "component").where("not (doc_id <=> first.doc_id and text_hash = first.text_hash)").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    drop = cut(drop)
+    kept = docs.join(F.broadcast(drop) if drop.count() <= small else drop, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    again = joined.where("component is not null").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    again = cut(again)
+    if again.isEmpty():
+        return kept
+    same = kept["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(kept["text"]) == F.col("_hash"))
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def _blocks(sets: DataFrame, block: int) -> DataFrame:
-    """Each set once for every pair of blocks it takes part in.
+    """Adds `pieces`: the pairs of blocks that each set takes part in; sets that meet no other go.
 
-    Sizes fall into steps of 5/4, so linked sets lie in the same or in
-    neighbouring steps (similarity 0.8).  side: 0 a block against itself, 1 and 2
-    the two blocks of a pair.
+    A small cluster is one block.  In a larger one sizes fall into steps of 5/4, so
+    linked sets (similarity 0.8 or more) lie in the same or in neighbouring steps, and a
+    step is cut by a hash into blocks of `block` sets, fewer where they are large.
+    side: 0 a block against itself, 1 and 2 the two blocks of a pair.
     """
-    sets = sets.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9).cast("int"))
-    holds = F.greatest(F.lit(8.0), F.least(F.lit(float(block)), F.lit(4e6) / F.pow(F.lit(1.25), F.col("step").cast("double"))))
-    counts = sets.groupBy("cluster", "step").agg(F.count("*").alias("held")).withColumn("parts", F.ceil(F.col("held") / holds).cast("int")).drop("held")
+    whole = sets.groupBy("cluster").agg((F.count("*") <= block).alias("few"), (F.sum("n") <= ELEMENTS).alias("light"), F.count("*").alias("of_cluster"))
+    whole = whole.where("of_cluster > 1").select("cluster", (F.col("few") & F.col("light")).alias("whole"))
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9).cast("int")
+    sets = sets.join(whole, "cluster").withColumn("step", F.when(F.col("whole"), 0).otherwise(step))
+    holds = F.greatest(F.lit(8.0), F.least(F.lit(float(block)), F.lit(float(ELEMENTS)) / F.pow(F.lit(1.25), F.col("step").cast("double"))))
+    counts = sets.groupBy("cluster", "step", "whole").agg(F.count("*").alias("held")).withColumn("parts", F.when(F.col("whole"), 1).otherwise(F.ceil(F.col("held") / holds)).cast("int"))
     around = counts.select("cluster", F.explode(F.array(*(F.struct((F.col("step") + d).alias("step"), F.lit(-d).alias("at"), F.col("parts").alias("parts")) for d in (-1, 0, 1)))).alias("x")).select("cluster", "x.*")
     around = around.groupBy("cluster", "step").agg(*(F.max(F.when(F.col("at") == d, F.col("parts"))).alias(name) for d, name in ((-1, "below"), (0, "parts"), (1, "above"))))
     sets = sets.join(around, ["cluster", "step"]).withColumn("part", F.expr("cast(pmod(xxhash64(s), parts) as int)"))
-    pairs = F.expr(
+    pieces = F.expr(
         """concat(
             array(struct(step as low, part as x, step as high, part as y, 0 as side)),
             transform(filter(sequence(0, parts - 1), p -> p > part), p -> struct(step as low, part as x, step as high, p as y, 1 as side)),
@@ -392,4 +419,4 @@ def _blocks(sets: DataFrame, block: int) -> DataFrame:
             if(above is null, array(), transform(sequence(0, above - 1), p -> struct(step as low, part as x, step + 1 as high, p as y, 1 as side))),
             if(below is null, array(), transform(sequence(0, below - 1), p -> struct(step - 1 as low, p as x, step as high, part as y, 2 as side))))"""
     )
-    return sets.select("cluster", "s", "copies", "shingles", F.explode(pairs).alias("p")).select("cluster", "p.*", "s", "copies", "shingles")
+    return sets.select("s", "rep", "copies", "cluster", pieces.alias("pieces"))
