@@ -80,15 +80,17 @@ def mix(docs: DataFrame, seed: int = 7, cycle: int = 3, most: int = 3) -> DataFr
     docs = docs.drop(*NEW)
     narrow = cut(_sized(docs.select("doc_id", "source", "text"), seed).select("source", "size", "_key"))
     sources = plan(narrow, cycle, most)
-    rows = _sized(docs, seed)
+    sources = sources.select("_source", *(F.col(c).alias(f"_mix_{c}") for c in sources.columns if c != "_source"))
+    # only the new columns are named: whatever else `docs` has may clash with what is joined
+    rows = _sized(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text"), seed)
     rows = rows.join(sources, _same_source(rows, sources))
     more = F.expr(
-        """case when cut_key is null then 0
-                when _key < cut_key or _key = cut_key and size < cut_size then size
-                when _key = cut_key and size = cut_size then cut_rest else 0 end"""
+        """case when _mix_cut_key is null then 0
+                when _key < _mix_cut_key or _key = _mix_cut_key and size < _mix_cut_size then size
+                when _key = _mix_cut_key and size = _mix_cut_size then _mix_cut_rest else 0 end"""
     )
-    rows = rows.withColumn("taken", (F.col("size") * F.col("epochs") + more).cast("long"))
-    return rows.select(*docs.columns, *NEW)
+    taken = (F.col("size") * F.col("_mix_epochs") + more).cast("long")
+    return rows.select("_row.*", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), taken.alias("taken"))
 
 
 MIX_SQL = r"""

@@ -21,8 +21,9 @@ def _docs(spark, rows):
 
 
 def _mixed(spark, rows):
-    got = mixing.mix(_docs(spark, rows).withColumn("size", F.lit("clash"))).toPandas()
-    assert list(got.columns) == ["doc_id", "text", "lang", "source", "n_chars", *mixing.NEW]
+    got = mixing.mix(_docs(spark, rows).withColumns({c: F.lit("clash") for c in ("size", "epochs", "_key", "weight")})).toPandas()
+    assert list(got.columns) == ["doc_id", "text", "lang", "source", "n_chars", "epochs", "_key", "weight", *mixing.NEW]
+    assert set(got["epochs"]) | set(got["_key"]) <= {"clash"}
     return got
 
 
