@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, mixing, neighbour_quality, toxicity
+from . import chat_format, language_id, mixing, neighbour_quality, oracles, toxicity
 from .decontaminate import decontaminate
 from .learning import labelled_sample
 from .ngram_join import ngram_join
@@ -83,4 +83,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat_format.CHAT_SQL, "op8_mixing": mixing.MIX_SQL.format(documents="documents")}
+    return {
+        "op2_decontaminate": oracles.CONTAMINATION_SQL,
+        "op4_chat_format": chat_format.CHAT_SQL,
+        "op7_substring_dedup": oracles.DEDUP_SQL,
+        "op8_mixing": mixing.MIX_SQL.format(documents="documents"),
+        "op10_ngram_join": oracles.JACCARD_SQL,
+    }

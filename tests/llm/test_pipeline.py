@@ -2,6 +2,9 @@
 
 import collections
 
+import duckdb
+import pytest
+
 import corpus_pipeline
 from cellweave.llm import chat_format, decontaminate, language_id, mixing, ngram_join, pii, queries
 
@@ -15,6 +18,17 @@ def test_stages():
     assert set(queries.oracle_sql()) <= set(queries.queries()) and chat_format.CHAT_SQL in queries.oracle_sql().values()
 
 
+@pytest.mark.parametrize("name", queries.oracle_sql())
+def test_queries_agree_with_sql(spark, name):
+    with duckdb.connect() as db:
+        for t in ("documents", "benchmark", "conversations"):
+            db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+        want = db.sql(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, SMALL).toPandas()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert collections.Counter(got[want.columns].itertuples(index=False, name=None)) == collections.Counter(want.itertuples(index=False, name=None))
+
+
 def test_pipeline_agrees_with_a_plain_one(spark):
     got = collections.Counter((r["doc_id"], r["text"], r["size"], r["taken"]) for r in corpus_pipeline.run(spark, SMALL).collect())
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
