@@ -59,6 +59,12 @@ class Pair:
             return text_of(c, other if other.family in (Family.UUID, Family.JSON) else own, self.options, is_json=self.is_json, unicode=False)
         return text_of(c, own, self.options, self.digits, self.is_json, self.unicode)
 
+    def identity(self, c: Column, side: str) -> Column:
+        """A text that is equal exactly where canonical texts are, cheaper where both sides are of one type."""
+        if self.left.type == self.right.type and self.left.family in (Family.FLOAT, Family.DECIMAL):
+            return c.cast("string")
+        return self.text(c, side)
+
     def equal(self, a: Column, b: Column) -> Column:
         left, right = self.left, self.right
         if self.options.tolerant and left.is_numeric and right.is_numeric:

@@ -13,7 +13,7 @@ from .keys import col
 
 def row_hashes(df: DataFrame, pairs: dict[str, Pair], side: str) -> DataFrame:
     """(h, n): how often each row occurs; columns in the order of their names."""
-    texts = [pairs[n].text(col(n), side) for n in sorted(pairs)]
+    texts = [pairs[n].identity(col(n), side) for n in sorted(pairs)]
     return df.select(F.md5(fields_text(texts)).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
 
 

@@ -25,7 +25,7 @@ BROADCAST_SEGMENTS = 1_000_000  # differing segments that are broadcast at most
 
 def _rows(df: DataFrame, pairs: dict[str, Pair], key: list[str], side: str) -> DataFrame:
     """(bucket, h1, h2, pr) of every row; the bucket is as fine as it may get."""
-    texts = [p.text(col(p.name), side) for p in pairs.values()]
+    texts = [p.identity(col(p.name), side) for p in pairs.values()]
     sums = checksums(F.col("row"))
     keyed = df.select(key_text([pairs[k] for k in key], side).alias("key"), fields_text(texts).alias("row"))
     return keyed.select(bucket(F.col("key"), MAX_DIGITS).alias("bucket"), *(c.alias(n) for n, c in sums.items()))
