@@ -5,9 +5,10 @@ size; what a full source cannot take goes to the others (water filling, solved
 on the list of sources sorted by the level at which each is full).
 
 Inside a source, rows stand in the order of a keyed hash.  The cut is found
-without sorting a source: the hash range is split evenly into buckets of about
-BUCKET rows, prefix sums over the buckets' token counts name the one bucket in
-which the budget ends, and only that bucket is sorted for a running sum.  So a
+without sorting a source: the hash range is split evenly into as many buckets as
+a bucket has rows (the square root of the source's rows), prefix sums over the
+buckets' token counts name the one bucket in which the budget ends, and only that
+bucket is sorted for a running sum.  So a
 source may hold any share of the rows, and documents are never shuffled; they
 get their source's epochs, cut and rest by a join with the table of sources.
 
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 
 from .support import cut
 
-BUCKET = 20_000
 NEW = ("size", "source_size", "target", "taken")
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -61,7 +61,7 @@ def plan(rows: DataFrame, cycle: int, most: int) -> DataFrame:
     """One row per source: target, whole epochs, and the hash, size and rest at which the last epoch is cut."""
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = targets(sources, cycle, most).withColumn("budget", F.floor(F.col("target") + 0.5))
-    sources = sources.withColumns({"epochs": F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(0), "rest": F.when(F.col("source_size") > 0, F.expr("budget % source_size")).otherwise(0), "buckets": F.ceil(F.col("n") / BUCKET)})
+    sources = sources.withColumns({"epochs": F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(0), "rest": F.when(F.col("source_size") > 0, F.expr("budget % source_size")).otherwise(0), "buckets": F.ceil(F.sqrt(F.col("n")))})
     sources = cut(sources.withColumnRenamed("source", "_source"))
     placed = rows.join(sources.select("_source", "buckets", "rest"), _same_source(rows, sources)).withColumn("bucket", F.expr("cast(conv(substr(_key, 1, 8), 16, 10) as bigint) * buckets div 4294967296"))
     sums = placed.groupBy("_source", "bucket").agg(F.sum("size").alias("held"), F.first("rest").alias("rest"))
