@@ -42,7 +42,8 @@ from .support import components, cut, width
 _POSTING = np.dtype([("t", "u8"), ("g", "u8"), ("n", "u4")])
 _DOC = np.dtype([("d", "i8"), ("null", "u1"), ("n", "u4"), ("g", "u8"), ("s", "u8"), ("h", "i8")])
 _PAIR = np.dtype([("g1", "u8"), ("g2", "u8"), ("n1", "u4"), ("n2", "u4"), ("hot", "u1")])
-_CHUNK = 1 << 21  # shingles counted together
+_CHUNK = 1 << 21  # shingles written together
+_COUNTED = 1 << 23  # shingles counted together
 _SEEN = 1 << 20  # sets remembered by a task to skip copies
 RANKED = 200_000  # shingles with a rank by count
 ELEMENTS = 4_000_000  # shingles of a block
@@ -93,7 +94,7 @@ def _count_often(k: int, least: int):
         for s in _fresh(batches, k):
             held.append(s)
             size += len(s)
-            if size >= _CHUNK:
+            if size >= _COUNTED:
                 yield often()
                 held, size = [], 0
         if held:
@@ -102,9 +103,9 @@ def _count_often(k: int, least: int):
     return run
 
 
-def often_ranked(docs: DataFrame, k: int, least: int = 4) -> np.ndarray:
+def often_ranked(docs: DataFrame, k: int, least: int = 3) -> np.ndarray:
     """Hashes of shingles that many sets hold, rarest first; RANKED at most, by count."""
-    counted = docs.select("text").mapInArrow(_count_often(k, least), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= 4 * least)
+    counted = docs.select("text").mapInArrow(_count_often(k, least), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= 2 * least)
     rows = counted.orderBy(F.desc("c"), "h").limit(RANKED).toPandas()
     return rows["h"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
@@ -214,7 +215,7 @@ def _meet(percent: int, hot: int):
         _, place, length = np.unique(t, return_inverse=True, return_counts=True)
         long = (length > hot)[place] if len(t) else np.zeros(0, bool)
         found = [np.zeros(0, _PAIR)]
-        for d in range(1, max(hot, 1)):
+        for d in range(1, max(hot, 2)):
             i = np.flatnonzero((t[d:] == t[:-d]) & ((d == 1) | ~long[d:])) if d < len(t) else ()
             if not len(i):
                 break
