@@ -77,7 +77,9 @@ def _write_run(k: int, buckets: int):
         tags = np.concatenate(all_tags)[first]
         bucket = _bucket(values, buckets).astype(np.int32)
         present, start = np.unique(bucket, return_index=True)
+        del all_values, all_tags
         blocks = [pack(v, t) for v, t in zip(np.split(values, start[1:]), np.split(tags, start[1:]), strict=True)] if len(values) else []
+        T.give_back()
         return pa.table({"run": pa.array([key[0].as_py()] * len(blocks), pa.int32()), "bucket": pa.array(present), "block": pa.array(blocks, pa.binary())})
 
     return run
@@ -108,6 +110,8 @@ def _old_of(runs_in_all: int):
         old = old[np.argsort(runs[old], kind="stable")]
         present, at = np.unique(runs[old], return_index=True)
         lists = [x.tobytes() for x in np.split(values[old], at[1:])] if len(old) else []
+        del values, tags, runs, start, group, first, owner, is_first, old
+        T.give_back()
         return pa.table({"run": pa.array(present.astype(np.int32)), "old": pa.array(lists, pa.binary())})
 
     return run
@@ -151,6 +155,8 @@ def _remove(k: int):
             kept = np.flatnonzero(~drop)
             counts = np.diff(np.searchsorted(kept, words.first))
             out.append(pa.table([ids_column.slice(begin, end - begin), pa.array(n_words), pa.array(n_words - counts), joined(words, kept, counts)], names=names))
+        del parts, h, text, by, covered
+        T.give_back()
         return pa.concat_tables(out)
 
     return run
