@@ -10,7 +10,8 @@ a bucket has rows (the square root of the source's rows), prefix sums over the
 buckets' token counts name the one bucket in which the budget ends, and only that
 bucket is sorted for a running sum.  So a
 source may hold any share of the rows, and documents are never shuffled; they
-get their source's epochs, cut and rest by a join with the table of sources.
+get their source's epochs, cut and rest by a join with the table of sources
+(broadcast if its size allows).
 
 Defined cases: null text has size 0; a null source is a source of its own, last
 in order; a null doc_id has a hash of its own; rows equal in source, doc_id and
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .support import cut
 
+SOURCES = 100_000  # rows of the table of sources that are broadcast at most; more are joined by a shuffle
 NEW = ("size", "source_size", "target", "taken")
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,13 +59,17 @@ def _same_source(a: DataFrame, b: DataFrame) -> Column:
     return a["source"].eqNullSafe(b["_source"])
 
 
+def _ready(sources: DataFrame) -> DataFrame:
+    return F.broadcast(sources) if sources.count() <= SOURCES else sources
+
+
 def plan(rows: DataFrame, cycle: int, most: int) -> DataFrame:
     """One row per source: target, whole epochs, and the hash, size and rest at which the last epoch is cut."""
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = targets(sources, cycle, most).withColumn("budget", F.floor(F.col("target") + 0.5))
     sources = sources.withColumns({"epochs": F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(0), "rest": F.when(F.col("source_size") > 0, F.expr("budget % source_size")).otherwise(0), "buckets": F.ceil(F.sqrt(F.col("n")))})
     sources = cut(sources.withColumnRenamed("source", "_source"))
-    placed = rows.join(sources.select("_source", "buckets", "rest"), _same_source(rows, sources)).withColumn("bucket", F.expr("cast(conv(substr(_key, 1, 8), 16, 10) as bigint) * buckets div 4294967296"))
+    placed = rows.join(_ready(sources.select("_source", "buckets", "rest")), _same_source(rows, sources)).withColumn("bucket", F.expr("cast(conv(substr(_key, 1, 8), 16, 10) as bigint) * buckets div 4294967296"))
     sums = placed.groupBy("_source", "bucket").agg(F.sum("size").alias("held"), F.first("rest").alias("rest"))
     sums = sums.withColumn("upto", F.sum("held").over(Window.partitionBy("_source").orderBy("bucket")))
     last = sums.where("upto - held <= rest and rest < upto").select(F.col("_source").alias("_at"), F.col("bucket").alias("_bucket"), (F.col("rest") - F.col("upto") + F.col("held")).alias("inside"))
@@ -83,7 +89,7 @@ def mix(docs: DataFrame, seed: int = 7, cycle: int = 3, most: int = 3) -> DataFr
     sources = sources.select("_source", *(F.col(c).alias(f"_mix_{c}") for c in sources.columns if c != "_source"))
     # only the new columns are named: whatever else `docs` has may clash with what is joined
     rows = _sized(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text"), seed)
-    rows = rows.join(sources, _same_source(rows, sources))
+    rows = rows.join(_ready(sources), _same_source(rows, sources))
     more = F.expr(
         """case when _mix_cut_key is null then 0
                 when _key < _mix_cut_key or _key = _mix_cut_key and size < _mix_cut_size then size
