@@ -36,12 +36,13 @@ from .support import cut
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 #: Transformed statistics, each with a floor for its standard deviation: a spread
 #: under the floor (most texts have no symbols at all) is not worth a rejection.
+#: Those of x3 and x4 are the spread of the values that are not 0 (0.118 and 0.104 on sf0.1).
 FEATURES = {
     "x0": ("log(n_words + 1.0)", 0.25),
     "x1": ("log(word_chars / n_words)", 0.05),
     "x2": ("sqrt(n_symbols / word_chars)", 0.04),
-    "x3": ("sqrt(n_dup_lines / n_lines)", 0.15),
-    "x4": ("sqrt(n_repeat_words / n_words)", 0.15),
+    "x3": ("sqrt(n_dup_lines / n_lines)", 0.10),
+    "x4": ("sqrt(n_repeat_words / n_words)", 0.10),
     "x5": ("sqrt(n_upper / word_chars)", 0.05),
 }
 BINS, KEEP, STEPS = 512, 0.75, 4
@@ -186,7 +187,7 @@ def key_of(*names: str) -> Column:
     return F.array(*(F.coalesce(F.concat(F.lit("="), F.col(n)), F.lit("null")) for n in names))
 
 
-def quality_rules(docs: DataFrame, tail: float = 1e-6, least: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, tail: float = 1e-3, least: int = 50) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, distance (squared), kept.
 
     `tail`: the share of a normal sample that would be rejected.

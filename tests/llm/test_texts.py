@@ -238,6 +238,21 @@ def test_robust_outliers(spark):
     assert quality_rules.quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 
 
+def test_repeats_are_outliers(spark):
+    """Repeated lines and passages count under the base rule's limit; one repeated line does not."""
+    rng = random.Random(7)
+    line = lambda: " ".join("abcdefgh"[: rng.randrange(3, 8)] + str(rng.randrange(10**6)) for _ in range(5))
+    usual = [[line() for _ in range(20)] for _ in range(300)]
+    lines = [[x for pair in zip(u[:12], [u[0]] * 12, strict=True) for x in pair] for u in usual[:15]]
+    passage = [[*u, " ".join(" ".join(u).split()[:14])] for u in usual[15:30]]
+    once = [u[:19] + u[:1] for u in usual[30:45]]
+    rows = [(i, "\n".join(t), "en", "s") for i, t in enumerate(usual + lines + passage + once)]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i]["base_failed"] for i in got)
+    assert not any(got[i]["kept"] for i in range(300, 330))
+    assert sum(got[i]["kept"] for i in range(300)) >= 298 and all(got[i]["kept"] for i in range(330, 345))
+
+
 def test_chi2():
     assert quality_rules.chi2_quantile(0.975, 6) == pytest.approx(14.4494, abs=1e-3)
     assert quality_rules.chi2_cdf(5.3481, 6) == pytest.approx(0.5, abs=1e-4)
