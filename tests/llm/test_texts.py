@@ -277,6 +277,19 @@ def test_language(spark):
     assert language_id.language_id(docs.limit(0), dictionaries).count() == 0 and language_id.learn(docs.limit(0)) == {}
 
 
+def test_language_margin(spark):
+    """Texts half in one language and half in another are rejected, though one half is a little shorter when packed."""
+    rng = random.Random(8)
+    other = str.maketrans("abcdefghij", "klmnopqrst")
+    text = lambda n: " ".join("".join(rng.choices(["abc", "ed", "fghi", "jac"], k=rng.randrange(1, 4))) for _ in range(n))
+    learned = [(i, text(40) if i % 2 else text(40).translate(other), "ab"[i % 2]) for i in range(160)]
+    docs = [x for t in [text(200) for _ in range(40)] for x in (f"{t} {t.translate(other)}", t)]
+    dictionaries = language_id.learn(spark.createDataFrame(learned, "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: r["rejected"] for r in language_id.language_id(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), dictionaries).collect()}
+    assert sum(got[i] for i in range(0, 80, 2)) >= 36, sum(got[i] for i in range(0, 80, 2))
+    assert not any(got[i] for i in range(1, 80, 2))
+
+
 def test_toxicity_learns_pairs(spark):
     """Neither word alone decides: only the pair is toxic."""
     rng = random.Random(8)
