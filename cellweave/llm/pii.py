@@ -16,6 +16,9 @@ staying vowels in Latin, Cyrillic and Greek script.
 `entities` lists what was found with its surrogates and `collisions` checks
 them: entities that share a surrogate, and surrogates that equal an entity.
 
+Names have any number of parts, and a found part is replaced wherever it stands
+in its text; untitled names and scripts without capitals are not found (README).
+
 Defined cases: null and empty texts stay; an entity found twice in a text is
 replaced twice alike; other columns stay as they are, except n_chars, which
 follows the text; entity columns already there are replaced; an empty table
@@ -27,7 +30,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_NAME = r"\p{Lu}[\p{L}’']+(?:[ -]\p{Lu}[\p{L}’']+){0,2}"
+_PART = r"\p{Lu}(?:[\p{L}’']+|\.(?=[ -]\p{Lu}))?"
+_PARTICLE = r"(?:(?:van der|van den|van de|van|von der|von|vom|zu|de la|de las|de los|del|della|de|di|da|dos|du|bin|ibn|al|el|ter|ten)[ -])?"
+_NAME = _PARTICLE + _PART + "(?:[ -]" + _PARTICLE + _PART + ")*"
 _TITLE = r"(?:Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Señora|Señor|Sra|Srta|Monsieur|Madame|Mme|Mlle|Господин|Госпожа|Κύριος|Κυρία)"
 #: In the order in which they are tried.
 PATTERNS = {
@@ -41,6 +46,8 @@ PATTERNS = {
     "ip": r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9])",
     "name": _TITLE + r"\.?\s" + _NAME,
 }
+#: Parts of a found name, which are found wherever they stand in its text.
+_MENTIONED = r"\p{Lu}\p{L}+"
 FIND = "(?<![A-Za-z0-9])(?:" + "|".join(PATTERNS.values()) + ")"
 #: A text without a match of this has no entity; it is cheaper to try.
 HINT = r"[@=:0-9]|ghp_|sk-|" + _TITLE
@@ -140,6 +147,19 @@ def _after(m: Column, prefix: str, salt: str, key: str, **how) -> Column:
     return _let(F.regexp_extract(m, "^" + prefix, 0), lambda head: F.concat(head, _permuted(F.substring(m, F.length(head) + 1, F.length(m)), salt, key, **how)))
 
 
+def _name(m: Column, key: str) -> Column:
+    """Each part by itself, so it is the same in all names and mentions; particles stay."""
+    last = lambda chars, i: (i > 0) & (i == F.size(chars) - 1)
+    part = lambda w: F.when(w.rlike(r"^\p{Lu}"), _permuted(w, "name", key, shift=_spoken, frozen=last)).otherwise(w)
+    head = F.regexp_extract(m, "^" + _TITLE + r"\.?\s", 0)
+
+    def parted(h: Column) -> Column:
+        tail = F.substring(m, F.length(h) + 1, F.length(m))
+        return F.concat(h, F.array_join(F.zip_with(F.split(tail, r"\p{L}+", -1), F.transform(F.regexp_extract_all(tail, F.lit(r"\p{L}+"), F.lit(0)), part), lambda piece, w: F.concat(piece, F.coalesce(w, F.lit("")))), ""))
+
+    return _let(head, parted)
+
+
 def kind(m: Column) -> Column:
     out = F.lit("name")
     for name, pattern in reversed(list(PATTERNS.items())[:-1]):
@@ -149,7 +169,6 @@ def kind(m: Column) -> Column:
 
 def surrogate(m: Column, key: str) -> Column:
     email = _let(F.regexp_extract(m, r"\.[A-Za-z]+$", 0), lambda tail: F.concat(_permuted(F.substring(m, F.lit(1), F.length(m) - F.length(tail)), "email", key), tail))
-    last = lambda chars, i: ~F.coalesce(F.get(chars, i + 1), F.lit(" ")).rlike(r"\p{L}")
     by_kind = {
         "email": email,
         "secret": _after(m, r"""[^=:]*[=:]\s*["']?""", "secret", key),
@@ -159,7 +178,7 @@ def surrogate(m: Column, key: str) -> Column:
         "phone": _phone(m, key),
         "ssn": _let(_digits(m), lambda d: _refilled(m, _permuted(d, "ssn", key))),
         "ip": _ip(m, key),
-        "name": _after(m, _TITLE + r"\.?\s", "name", key, shift=_spoken, frozen=last),
+        "name": _name(m, key),
     }
 
     def choose(k: Column) -> Column:
@@ -172,16 +191,24 @@ def surrogate(m: Column, key: str) -> Column:
 
 
 def _found(docs: DataFrame) -> DataFrame:
+    """Adds _find, the pattern of the text's entities, and _found, the entities."""
     none = F.array().cast("array<string>")
-    return docs.withColumn("_found", F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(FIND), F.lit(0))).otherwise(none))
+    head = "^" + _TITLE + r"\.?\s"
+    rows = docs.withColumn("_found", F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(FIND), F.lit(0))).otherwise(none))
+    names = F.filter("_found", lambda m: m.rlike(head))
+    parts = F.array_distinct(F.flatten(F.transform(names, lambda m: F.regexp_extract_all(F.regexp_replace(m, head, ""), F.lit(_MENTIONED), F.lit(0)))))
+    rows = rows.withColumn("_parts", parts)
+    again = F.concat(F.lit(FIND + r"|(?<![\p{L}\p{N}])(?:"), F.array_join("_parts", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    rows = rows.withColumn("_find", F.when(F.size("_parts") > 0, again).otherwise(F.lit(FIND)))
+    return rows.withColumn("_found", F.when(F.size("_parts") > 0, F.regexp_extract_all("text", F.col("_find"), F.lit(0))).otherwise(F.col("_found"))).drop("_parts")
 
 
 def pseudonymise(docs: DataFrame, key: str = "corpus") -> DataFrame:
     """All rows and columns of `docs` with surrogates in `text`, and n_entities and entity_kinds."""
     docs = docs.drop("n_entities", "entity_kinds")
     rows = _found(docs).withColumns({"n_entities": F.size("_found").cast("long"), "entity_kinds": F.transform("_found", kind)})
-    new = F.array_join(F.zip_with(F.split("text", FIND, -1), F.transform("_found", lambda m: surrogate(m, key)), lambda piece, s: F.concat(piece, F.coalesce(s, F.lit("")))), "")
-    rows = rows.withColumn("text", F.when(F.size("_found") > 0, new).otherwise(F.col("text"))).drop("_found")
+    new = F.array_join(F.zip_with(F.split("text", F.col("_find"), -1), F.transform("_found", lambda m: surrogate(m, key)), lambda piece, s: F.concat(piece, F.coalesce(s, F.lit("")))), "")
+    rows = rows.withColumn("text", F.when(F.size("_found") > 0, new).otherwise(F.col("text"))).drop("_found", "_find")
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows

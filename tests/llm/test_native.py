@@ -107,6 +107,16 @@ def test_surrogates(replaced):
     assert re.fullmatch(r"Mr\. [A-Z][a-z]+n [A-Z][a-z]+h met Mrs [A-Z][a-z]+a [A-Z][a-z]+k, Herr \w+n \w+r and Господин [А-Я][а-я]+н [А-Я][а-я]+в\.", names)
 
 
+def test_whole_names_and_mentions(spark):
+    """Names of any number of parts, with particles and initials; their parts have one surrogate wherever they stand."""
+    texts = ["Señor Juan Carlos García López vino.", "Dr Jan van der Berg, Herr von Bülow and Mr J. Smith came.", "Mr. John Smith left. Smith's dog saw Mr. Smith, not Smithson; John called."]
+    got = [r["text"] for r in pii.pseudonymise(_docs(spark, [(i, t, None) for i, t in enumerate(texts)]), "k").orderBy("doc_id").collect()]
+    assert not re.search("Juan|Carlos|García|López", got[0]) and re.fullmatch(r"Señor \w{4} \w{6} \w{6} \w{5} vino\.", got[0])
+    assert not re.search("Jan|Berg|Bülow|Smith", got[1]) and re.fullmatch(r"Dr \w+ van der \w+, Herr von \w+ and Mr \w\. \w+ came\.", got[1])
+    found = re.fullmatch(r"Mr\. (\w+) (\w+) left\. (\w+)'s dog saw Mr\. (\w+), not Smithson; (\w+) called\.", got[2]).groups()
+    assert found[0] == found[4] != "John" and found[1] == found[2] == found[3] != "Smith"
+
+
 def test_surrogates_depend_on_the_key(spark, replaced):
     other = pii.pseudonymise(_docs(spark, [(1, TEXTS[1], None)]), "other").first()["text"]
     assert other != replaced[1]["text"]
