@@ -3,9 +3,11 @@
 Entities are found by one pattern.  Each is replaced by a keyed permutation of
 its own characters: in four rounds the characters at even and odd places are
 shifted by a hash of the others, a digit to a digit and a letter to a letter of
-its case.  Every round can be undone, so two entities never share a surrogate
-(distinctness) and an entity has the same one everywhere (coreference), without
-a table of entities, a join or a shuffle.  Phone and card numbers are permuted
+its case; then one character is shifted, and the rounds are undone.  Every step
+can be undone, so two entities never share a surrogate (distinctness), an entity
+has the same one everywhere (coreference), and as the one shift leaves no string
+as it is, an entity is not its own surrogate; all without a table of entities, a
+join or a shuffle.  Phone and card numbers are permuted
 by their digits alone, so spellings of a number keep agreeing; letters count
 without case.  What makes the type stays: separators, the country code of a
 phone, the first digit and the check digit's validity of a card, the top-level
@@ -27,6 +29,8 @@ gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,35 +71,53 @@ def _amount(h: Column, i: Column) -> Column:
 
 def _plain(c: Column, k: Column) -> Column:
     code = F.ascii(c)
-    return F.when(c.between("0", "9"), F.char(48 + (code - 48 + k) % 10)).when(c.between("a", "z"), F.char(97 + (code - 97 + k) % 26)).when(c.between("A", "Z"), F.char(65 + (code - 65 + k) % 26)).otherwise(c)
+    return F.when(c.between("0", "9"), F.char(48 + F.pmod(code - 48 + k, F.lit(10)))).when(c.between("a", "z"), F.char(97 + F.pmod(code - 97 + k, F.lit(26)))).when(c.between("A", "Z"), F.char(65 + F.pmod(code - 65 + k, F.lit(26)))).otherwise(c)
 
 
 def _spoken(c: Column, k: Column) -> Column:
     out = c
     for letters in CLASSES:
         at = F.position(c, F.lit(letters))
-        out = F.when((at > 0) & (c != ""), F.substring(F.lit(letters), (at - 1 + k) % len(letters) + 1, F.lit(1))).otherwise(out)
+        out = F.when((at > 0) & (c != ""), F.substring(F.lit(letters), F.pmod(at - 1 + k, F.lit(len(letters))) + 1, F.lit(1))).otherwise(out)
     return out
 
 
+def _step(key: str, salt: str, n: int) -> int:
+    """From 1 to n, by the key."""
+    return 1 + int(hashlib.sha256(f"{key}|{salt}|step".encode()).hexdigest(), 16) % n
+
+
+#: The rounds, a step (0) and the rounds undone: as the step leaves no string as it is, neither does the whole.
+_ROUNDS = [*range(1, ROUNDS + 1), 0, *range(-ROUNDS, 0)]
+
+
 def _permuted(text: Column, salt: str, key: str, shift=_plain, frozen=None) -> Column:
-    """A keyed permutation of the strings with the same classes of characters at each place."""
+    """A keyed permutation of the strings with the same classes of characters at each place.
+
+    No string is its own surrogate, unless none of its characters can be shifted.
+    """
+
+    def stepped(chars: Column) -> Column:
+        free = F.transform(chars, lambda c, i: (shift(c, F.lit(1)) != c) if frozen is None else (shift(c, F.lit(1)) != c) & ~frozen(chars, i))
+        # classes have five characters at least
+        return _let(F.array_position(free, True), lambda at: F.array_join(F.transform(chars, lambda c, i: F.when(i + 1 == at, shift(c, F.lit(_step(key, salt, 4)))).otherwise(c)), ""))
 
     def one_round(state: Column, r: Column) -> Column:
         chars = F.split(state, "")
-        others = F.array_join(F.filter(chars, lambda c, i: (i + r) % 2 == 1), "")
-        digest = F.sha2(F.concat(F.lit(f"{key}|{salt}|"), r.cast("string"), F.lit("|"), F.lower(others)), 256)
+        number = F.abs(r) - 1
+        others = F.array_join(F.filter(chars, lambda c, i: (i + number) % 2 == 1), "")
+        digest = F.sha2(F.concat(F.lit(f"{key}|{salt}|"), number.cast("string"), F.lit("|"), F.lower(others)), 256)
 
         def turned(h: Column) -> Column:
             def char(c: Column, i: Column) -> Column:
-                still = (i + r) % 2 == 1
-                return F.when(still if frozen is None else still | frozen(chars, i), c).otherwise(shift(c, _amount(h, i)))
+                still = (i + number) % 2 == 1
+                return F.when(still if frozen is None else still | frozen(chars, i), c).otherwise(shift(c, F.signum(r).cast("int") * _amount(h, i)))
 
             return F.array_join(F.transform(chars, char), "")
 
-        return _let(digest, turned)
+        return F.when(r == 0, stepped(chars)).otherwise(_let(digest, turned))
 
-    return F.aggregate(F.array(*(F.lit(r) for r in range(ROUNDS))), text, one_round)
+    return F.aggregate(F.array(*(F.lit(r) for r in _ROUNDS)), text, one_round)
 
 
 def _digits(m: Column) -> Column:
@@ -134,12 +156,14 @@ def _phone(m: Column, key: str) -> Column:
 
 def _ip(m: Column, key: str) -> Column:
     def one_round(state: Column, r: Column) -> Column:
-        others = F.array_join(F.transform(F.filter(state, lambda x, i: (i + r) % 2 == 1), lambda x: x.cast("string")), ".")
-        digest = F.sha2(F.concat(F.lit(f"{key}|ip|"), r.cast("string"), F.lit("|"), others), 256)
-        return _let(digest, lambda h: F.transform(state, lambda x, i: F.when((i + r) % 2 == 1, x).otherwise((x + _amount(h, i)) % 256)))
+        number = F.abs(r) - 1
+        others = F.array_join(F.transform(F.filter(state, lambda x, i: (i + number) % 2 == 1), lambda x: x.cast("string")), ".")
+        digest = F.sha2(F.concat(F.lit(f"{key}|ip|"), number.cast("string"), F.lit("|"), others), 256)
+        turned = _let(digest, lambda h: F.transform(state, lambda x, i: F.when((i + number) % 2 == 1, x).otherwise(F.pmod(x + F.signum(r).cast("int") * _amount(h, i), F.lit(256)))))
+        return F.when(r == 0, F.transform(state, lambda x, i: F.when(i == 0, (x + _step(key, "ip", 255)) % 256).otherwise(x))).otherwise(turned)
 
     numbers = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
-    return F.array_join(F.transform(F.aggregate(F.array(*(F.lit(r) for r in range(ROUNDS))), numbers, one_round), lambda x: x.cast("string")), ".")
+    return F.array_join(F.transform(F.aggregate(F.array(*(F.lit(r) for r in _ROUNDS)), numbers, one_round), lambda x: x.cast("string")), ".")
 
 
 def _after(m: Column, prefix: str, salt: str, key: str, **how) -> Column:

@@ -117,6 +117,15 @@ def test_whole_names_and_mentions(spark):
     assert found[0] == found[4] != "John" and found[1] == found[2] == found[3] != "Smith"
 
 
+def test_no_surrogate_is_its_entity(spark):
+    """Short names, of which some were their own surrogates, and numbers."""
+    names = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "aeioubcdhnst"]
+    rows = [(i, f"Mr {w} at 10.0.{i % 256}.{i // 256}", None) for i, w in enumerate(names)] + [(1000 + i, f"123-45-{i:04d}", None) for i in range(300)]
+    found = pii.entities(_docs(spark, rows))
+    assert found.where(F.lower("entity") == F.lower("surrogate")).count() == 0
+    assert pii.collisions(found).where("why = 'shared'").count() == 0 and found.select("surrogate").distinct().count() == found.count()
+
+
 def test_surrogates_depend_on_the_key(spark, replaced):
     other = pii.pseudonymise(_docs(spark, [(1, TEXTS[1], None)]), "other").first()["text"]
     assert other != replaced[1]["text"]
