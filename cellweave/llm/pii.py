@@ -54,7 +54,7 @@ PATTERNS = {
 _MENTIONED = r"\p{Lu}\p{L}+"
 FIND = "(?<![A-Za-z0-9])(?:" + "|".join(PATTERNS.values()) + ")"
 #: A text without a match of this has no entity; it is cheaper to try.
-HINT = r"[@=:0-9]|ghp_|sk-|" + _TITLE
+HINT = r"[@=:0-9]|AKIA|ASIA|ghp_|sk-|" + _TITLE
 #: Letters of names change within a class only (fixed values).
 CLASSES = ["aeiou", "AEIOU", "bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóú", "àèìòù", "äëïöü", "âêîôû", "аеиоуыэюя", "АЕИОУЫЭЮЯ", "бвгджзйклмнпрстфхцчшщ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ", "αεηιουω", "ΑΕΗΙΟΥΩ", "βγδζθκλμνξπρστφχψ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ"]
 ROUNDS = 4

@@ -126,6 +126,16 @@ def test_no_surrogate_is_its_entity(spark):
     assert pii.collisions(found).where("why = 'shared'").count() == 0 and found.select("surrogate").distinct().count() == found.count()
 
 
+def test_hint_covers_all_patterns(spark):
+    """Texts whose only entity is of one kind, with as few other marks as the kind allows."""
+    texts = {"email": "a@b.cd", "secret": "token=abcdef", "key": "AKIA" + "ABCDEFGHIJKLMNOP", "iban": "DE89370400440532013000", "card": "4111111111111111", "phone": "+49 89 1234", "ssn": "123-45-6789", "ip": "1.2.3.4", "name": "Mr Lee"}
+    more = {"key": ["ASIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "a" * 36, "sk-" + "b" * 20], "secret": ["pwd: abcdef"]}
+    rows = [(i, t, k) for i, (k, t) in enumerate([*texts.items(), *((k, t) for k, ts in more.items() for t in ts)])]
+    assert list(texts) == list(pii.PATTERNS)
+    got = {r["doc_id"]: r for r in pii.pseudonymise(_docs(spark, rows)).collect()}
+    assert all(got[i]["entity_kinds"] == [k] and got[i]["text"] != t for i, t, k in rows)
+
+
 def test_surrogates_depend_on_the_key(spark, replaced):
     other = pii.pseudonymise(_docs(spark, [(1, TEXTS[1], None)]), "other").first()["text"]
     assert other != replaced[1]["text"]
