@@ -277,6 +277,14 @@ def test_language(spark):
     assert language_id.language_id(docs.limit(0), dictionaries).count() == 0 and language_id.learn(docs.limit(0)) == {}
 
 
+def test_language_learns_from_whole_texts(spark):
+    """Texts that open with one long shared passage are learned from beyond it."""
+    rows = [(i, "shared opening " * 120 + " ".join(f"unique{chr(97 + i)}{chr(97 + j)}" for j in range(20)) * 10 + " last", "aa") for i in range(20)] + [(90, "short", "bb")]
+    learned = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert b"unique" in learned["aa"] and b"last" in learned["aa"] and learned["bb"] == b"short"
+    assert len(learned["aa"]) <= 20 * (1500 + language_id.PIECES)
+
+
 def test_language_margin(spark):
     """Texts half in one language and half in another are rejected, though one half is a little shorter when packed."""
     rng = random.Random(8)
