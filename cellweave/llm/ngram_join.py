@@ -361,7 +361,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, hot: int = 64, bl
     within = members.join(groups, "g").select(F.col("head").alias("a"), F.col("s").alias("b"))
     clusters = components(across.unionByName(within)).withColumnsRenamed({"node": "s", "root": "cluster"})
     needed = cut(clusters.join(members.select("s", "rep", "n", "copies"), "s"))
-    placed = cut(_blocks(needed, block))
+    placed = cut(_blocks(needed, block, percent))
     ready = F.broadcast(placed) if placed.count() <= small else placed
     chosen = docs.join(ready, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "s", "copies", "cluster", "pieces")
     sets = chosen.mapInArrow(_sets(k), "s long, copies long, cluster long, pieces array<struct<low:int,x:int,high:int,y:int,side:int>>, shingles array<long>")
@@ -395,19 +395,20 @@ def first_of_each(docs: DataFrame, small: int = 1_000_000, **how) -> DataFrame:
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
-def _blocks(sets: DataFrame, block: int) -> DataFrame:
+def _blocks(sets: DataFrame, block: int, percent: int = 80) -> DataFrame:
     """Adds `pieces`: the pairs of blocks that each set takes part in; sets that meet no other go.
 
-    A small cluster is one block.  In a larger one sizes fall into steps of 5/4, so
-    linked sets (similarity 0.8 or more) lie in the same or in neighbouring steps, and a
-    step is cut by a hash into blocks of `block` sets, fewer where they are large.
+    A small cluster is one block.  In a larger one sizes fall into steps of
+    100/percent (5/4 for 80), so linked sets lie in the same or in neighbouring steps (of
+    percent 100 in the same size, so steps of 5/4 do), and a step is cut by a hash into blocks of `block` sets, fewer where they are large.
     side: 0 a block against itself, 1 and 2 the two blocks of a pair.
     """
     whole = sets.groupBy("cluster").agg((F.count("*") <= block).alias("few"), (F.sum("n") <= ELEMENTS).alias("light"), F.count("*").alias("of_cluster"))
     whole = whole.where("of_cluster > 1").select("cluster", (F.col("few") & F.col("light")).alias("whole"))
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9).cast("int")
+    ratio = max(1.25, 100 / percent)
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio)) + 1e-9).cast("int")
     sets = sets.join(whole, "cluster").withColumn("step", F.when(F.col("whole"), 0).otherwise(step))
-    holds = F.greatest(F.lit(8.0), F.least(F.lit(float(block)), F.lit(float(ELEMENTS)) / F.pow(F.lit(1.25), F.col("step").cast("double"))))
+    holds = F.greatest(F.lit(8.0), F.least(F.lit(float(block)), F.lit(float(ELEMENTS)) / F.pow(F.lit(ratio), F.col("step").cast("double"))))
     counts = sets.groupBy("cluster", "step", "whole").agg(F.count("*").alias("held")).withColumn("parts", F.when(F.col("whole"), 1).otherwise(F.ceil(F.col("held") / holds)).cast("int"))
     around = counts.select("cluster", F.explode(F.array(*(F.struct((F.col("step") + d).alias("step"), F.lit(-d).alias("at"), F.col("parts").alias("parts")) for d in (-1, 0, 1)))).alias("x")).select("cluster", "x.*")
     around = around.groupBy("cluster", "step").agg(*(F.max(F.when(F.col("at") == d, F.col("parts"))).alias(name) for d, name in ((-1, "below"), (0, "parts"), (1, "above"))))

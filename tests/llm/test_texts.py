@@ -87,6 +87,16 @@ def test_ngram_join(spark, monkeypatch, hot, block):
     assert got == dict(enumerate(plain_links(texts)))
 
 
+def test_ngram_join_blocks_follow_percent(spark):
+    """Sets 1.6 times as large link at 60 %, in blocks as in one."""
+    words = [f"w{i}" for i in range(164)]
+    texts = [" ".join(words[:n]) for n in (104, 164, 110, 150, 66)]
+    want = plain_links(texts, percent=60)
+    for block in (1024, 1):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.ngram_join(frame(spark, texts), percent=60, block=block).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_ngram_join_ids_and_first(spark):
     texts = ["a b c d e f", "a b c d e f", "A b c d e f", "x y", "x y", None, None]
     docs = frame(spark, texts, [None, 5, 5, 9, 9, None, 2])
