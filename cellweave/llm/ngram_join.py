@@ -2,18 +2,21 @@
 
 Shingles of each document are put in one global order, rare ones first.  Two
 sets with Jaccard similarity t or more share a shingle among their first
-n - ceil(t*n) + 1, so documents meet only in the lists of those prefix shingles.
+n - ceil(t*n) + 1, and the first shingle that they share leaves enough of both
+sets to reach the overlap that t asks for.
 
 1. Documents with the same prefix and size form a group, and only groups are
-   listed; copies never meet one by one.
-2. Lists of up to `hot` groups give pairs of groups, kept if their sizes are near
-   and they share enough prefix shingles; in longer lists each group is tied to
-   the next in size.  Pairs and groups are expanded to their members (distinct
-   sets), and what is tied together is a cluster.
-3. All pairs of a cluster that could link are verified exactly, by matrix
-   products.  Large clusters are cut into blocks by size and hash: a task holds
-   two blocks at most, whatever the size of the cluster, and returns a spanning
-   forest and the number of links of each set, so no list of all pairs exists.
+   listed, with the place of the shingle; copies never meet one by one.
+2. Groups of a list pair up if their sizes and places allow the overlap.  A list
+   that would give more than `hot` pairs for each of its groups gives a chain
+   through those groups that could pair; so does a group of more than `hot` sets.
+   What chains tie together is a crowd.
+3. All other pairs of groups are expanded to pairs of their members (distinct
+   sets) and verified one by one, next to pairs they share sets with.
+   In a crowd nearly all pairs link, so its sets are verified by matrix products,
+   in blocks by size and hash: a task holds two blocks at most, whatever the size
+   of the crowd.  Tasks return a spanning forest and the number of links of each
+   set, so no list of all links exists.
 4. Components of the verified links give each document its smallest partner.
 
 Order: shingles counted often are ranked by their count, all others stand before
@@ -28,7 +31,7 @@ component has no other; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +42,14 @@ from pyspark.sql import functions as F
 from . import textops as T
 from .support import components, cut, width
 
-_POSTING = np.dtype([("t", "u8"), ("g", "u8"), ("n", "u4")])
+_POSTING = np.dtype([("t", "u8"), ("g", "u8"), ("n", "u4"), ("i", "u4")])
 _DOC = np.dtype([("d", "i8"), ("null", "u1"), ("n", "u4"), ("g", "u8"), ("s", "u8"), ("h", "i8")])
-_PAIR = np.dtype([("g1", "u8"), ("g2", "u8"), ("n1", "u4"), ("n2", "u4"), ("hot", "u1")])
-_CHUNK = 1 << 21  # shingles written together
+_CHUNK = 1 << 20  # shingles, postings or pairs handled together
 _COUNTED = 1 << 23  # shingles counted together
-_SEEN = 1 << 20  # sets remembered by a task to skip copies
+_SEEN = 1 << 18  # sets remembered by a task to skip copies
+_SENT = 64 << 20  # bytes of a table that is broadcast, at most
 RANKED = 200_000  # shingles with a rank by count
-ELEMENTS = 4_000_000  # shingles of a block
+ELEMENTS = 1_000_000  # shingles of a block
 
 
 def shingle_sets(texts: pa.Array, k: int, how: T.Splitter = T.SPACED_LOWER) -> Iterator[tuple[int, np.ndarray]]:
@@ -87,18 +90,22 @@ def _count_often(k: int, least: int):
         size = 0
 
         def often() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            h, c = h[c >= least], c[c >= least]
+            part = np.concatenate(held)
+            held.clear()
+            part.sort()
+            h = np.unique(part[least - 1 :][part[least - 1 :] == part[: max(0, len(part) - least + 1)]])
+            c = np.searchsorted(part, h, "right") - np.searchsorted(part, h)
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
 
         for s in _fresh(batches, k):
+            if held and size + len(s) > _COUNTED:
+                yield often()
+                size = 0
             held.append(s)
             size += len(s)
-            if size >= _COUNTED:
-                yield often()
-                held, size = [], 0
         if held:
             yield often()
+        T.give_back()
 
     return run
 
@@ -152,6 +159,7 @@ def _index(k: int, percent: int, buckets: int, ranked: np.ndarray):
             lengths = [len(x[0]) for x in held]
             out["g"] = np.repeat(np.array([x[1] for x in held], np.uint64), lengths)
             out["n"] = np.repeat(np.array([x[2] for x in held], np.uint32), lengths)
+            out["i"] = np.concatenate([np.arange(n, dtype=np.uint32) for n in lengths])
             return rows(0, (T.mix(out["t"]) % np.uint64(buckets)).astype(np.int64), out)
 
         for batch in batches:
@@ -175,13 +183,15 @@ def _index(k: int, percent: int, buckets: int, ranked: np.ndarray):
                     seen.add(int(group))
                     held.append((prefix, group, n))
                     size += p
-                    if size >= 2 * _CHUNK:
+                    if size >= _CHUNK:
                         yield postings()
                         held, size = [], 0
             if len(docs):
                 yield rows(1, (T.mix(docs["s"] + np.where(docs["n"] > 0, 0, np.arange(len(docs))).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), docs)
         if held:
             yield postings()
+        held = []
+        T.give_back()
 
     return run
 
@@ -195,147 +205,202 @@ def _unpack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles sets of n and m share at least if they link."""
+    return (percent * (n + m) + 99 + percent) // (100 + percent)
+
+
+def spread_out(counts: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, k) for k from 0 to counts[i] - 1, in runs of about `limit`; one i is never cut."""
+    total = np.concatenate([[0], np.cumsum(counts)])
+    low = 0
+    while low < len(counts):
+        high = max(low + 1, int(np.searchsorted(total, total[low] + limit, "right")) - 1)
+        i = np.repeat(np.arange(low, high), counts[low:high])
+        yield i, np.arange(len(i)) - (total[i] - total[low])
+        low = high
+
+
+def _ties(g: np.ndarray, h: np.ndarray, crowd: bool) -> pa.RecordBatch:
+    """Distinct pairs of groups."""
+    a, b = np.minimum(g, h), np.maximum(g, h)
+    at = np.unique(T.mix(a) ^ b, return_index=True)[1]
+    return pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64)), pa.array(np.full(len(at), crowd))], ["g1", "g2", "crowd"])
+
+
 def _meet(percent: int, hot: int):
-    """Pairs of groups that share a prefix shingle; hot lists give chains by size instead."""
+    """Pairs of groups that may link, or chains where there would be too many."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        x = np.concatenate([np.frombuffer(b.as_buffer(), _POSTING) for b in rows.column("blob")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.concatenate([np.zeros(0, _POSTING), *(np.frombuffer(b.as_buffer(), _POSTING) for batch in batches for b in T.column(batch, "blob"))])
         by = np.argsort(x["t"])
         token = x["t"][by]
         more = np.zeros(len(by), bool)
         more[1:] = token[1:] == token[:-1]
         more[:-1] |= more[1:]
         x = x[by[more]]  # shingles that one group only has are most
+        del by, token, more
         x = x[np.lexsort((x["g"], x["n"], x["t"]))]
-        if len(x):
-            same = np.zeros(len(x), bool)
-            same[1:] = (x["t"][1:] == x["t"][:-1]) & (x["g"][1:] == x["g"][:-1])
-            x = x[~same]
-        t, g, n = x["t"], x["g"], x["n"].astype(np.int64)
-        _, place, length = np.unique(t, return_inverse=True, return_counts=True)
-        long = (length > hot)[place] if len(t) else np.zeros(0, bool)
-        found = [np.zeros(0, _PAIR)]
-        for d in range(1, max(hot, 2)):
-            i = np.flatnonzero((t[d:] == t[:-d]) & ((d == 1) | ~long[d:])) if d < len(t) else ()
-            if not len(i):
-                break
-            i = i[percent * n[i + d] <= 100 * n[i]]
-            pairs = np.empty(len(i), _PAIR)
-            swap = g[i] > g[i + d]
-            pairs["g1"], pairs["g2"] = np.where(swap, g[i + d], g[i]), np.where(swap, g[i], g[i + d])
-            pairs["n1"], pairs["n2"] = np.where(swap, n[i + d], n[i]), np.where(swap, n[i], n[i + d])
-            pairs["hot"] = long[i]
-            found.append(pairs)
-        pairs, shared = np.unique(np.concatenate(found), return_counts=True)
-        columns = {x: pairs[x].astype(np.int64) if x[0] == "n" else pairs[x].copy().view(np.int64) for x in ("g1", "g2", "n1", "n2")}
-        return pa.table(columns | {"hot": pairs["hot"].astype(bool), "shared": shared.astype(np.int64)})
+        fresh = np.ones(len(x), bool)
+        fresh[1:] = (x["t"][1:] != x["t"][:-1]) | (x["g"][1:] != x["g"][:-1])
+        x = x[fresh]
+        if not len(x):
+            return
+        g, n = x["g"].copy(), x["n"].astype(np.int64)
+        rest = n - x["i"]
+        opens = np.ones(len(x), bool)
+        opens[1:] = x["t"][1:] != x["t"][:-1]
+        del x, fresh
+        place = np.arange(len(g))
+        list_of = np.cumsum(opens) - 1
+        first = np.flatnonzero(opens)
+        length = np.diff(np.append(first, len(g)))
+        # The smaller set of a pair (listed first) leaves enough even for one of its own size.
+        leads = rest >= least_overlap(n, n, percent)
+        end = np.searchsorted((list_of << 32) + n, (list_of << 32) + 100 * n // percent, "right")
+        count = np.where(leads, end - place - 1, 0)
+        crowded = np.add.reduceat(count, first) > hot * length
+        lead = np.maximum.accumulate(np.where(leads, place, -1))
+        lead[1:], lead[0] = lead[:-1].copy(), -1
+        tied = np.flatnonzero(crowded[list_of] & (lead >= first[list_of]))
+        tied = tied[percent * n[tied] <= 100 * n[lead[tied]]]
+        for low in range(0, len(tied), _CHUNK):
+            part = tied[low : low + _CHUNK]
+            yield _ties(g[lead[part]], g[part], True)
+        open_ = np.flatnonzero((count > 0) & ~crowded[list_of])
+        for i, k in spread_out(count[open_], _CHUNK):
+            i = open_[i]
+            j = i + 1 + k
+            fits = np.minimum(rest[i], rest[j]) >= least_overlap(n[i], n[j], percent)
+            yield _ties(g[i[fits]], g[j[fits]], False)
+        T.give_back()
 
     return run
 
 
 def _sets(k: int):
-    """Adds the shingles of each text; rows whose text is not the set meant (a shared id) go."""
+    """Adds the shingles of each text; rows whose text is not the set meant (texts of one hash) go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["s", "copies", "cluster", "pieces"]
+        names = ["s", "copies", "pieces"]
         for batch in batches:
             meant = T.column(batch, "s").to_numpy().view(np.uint64)
             at: list[int] = []
-            held: list[np.ndarray] = []
+            held: list[bytes] = []
             size = 0
             for i, s in shingle_sets(T.column(batch, "text"), k):
                 if len(s) and set_id(s) == meant[i]:
                     at.append(i)
-                    held.append(s)
+                    held.append(s.tobytes())
                     size += len(s)
                 if held and (size >= _CHUNK or i == len(meant) - 1):
-                    offsets = np.cumsum([0, *(len(x) for x in held)]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(held).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([*(T.column(batch, n).take(pa.array(at)) for n in names), lists], [*names, "shingles"])
+                    yield pa.RecordBatch.from_arrays([*(T.column(batch, n).take(pa.array(at)) for n in names), pa.array(held, pa.binary())], [*names, "shingles"])
                     at, held, size = [], [], 0
 
     return run
 
 
-def linked(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int, width: int = 4096) -> np.ndarray:
-    """Which sets of a and b (or of a alone) have the similarity, as a boolean matrix."""
-    sets = a if b is None else [*a, *b]
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    column = np.cumsum(counts > 1) - 1
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    shared = counts[inverse] > 1
-    row, at = row[shared], column[inverse[shared]]
-    by = np.argsort(at, kind="stable")
-    row, at = row[by], at[by]
-    right = slice(None) if b is None else slice(len(a), None)
-    sizes = np.array([len(s) for s in sets])
-    both = np.zeros((len(a), len(sizes[right])), np.float32)
-    total = int(at[-1]) + 1 if len(at) else 0
-    width = min(width, max(1, total))
-    for low in range(0, total, width):
-        i, j = np.searchsorted(at, [low, low + width])
-        dense = np.zeros((len(sets), width), np.float32)
-        dense[row[i:j], at[i:j] - low] = 1
-        both += dense[: len(a)] @ dense[right].T
-    union = sizes[: len(a), None] + sizes[right][None, :] - both
-    return 100 * both >= percent * union
-
-
-def forest(m: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (left, right) that connect what the matrix connects."""
-    out, left, right = [], np.ones(m.shape[0], bool), np.ones(m.shape[1], bool)
-    for i in np.flatnonzero(m.any(axis=1)):
-        if not left[i]:
-            continue
-        left[i] = False
-        rows = np.array([i])
-        while len(rows):
-            next_rows = []
-            for r in rows:
-                cols = np.flatnonzero(m[r] & right)
-                right[cols] = False
-                for c in cols:
-                    out.append((int(r), int(c)))
-                    fresh = np.flatnonzero(m[:, c] & left)
-                    left[fresh] = False
-                    out.extend((int(f), int(c)) for f in fresh)
-                    next_rows.extend(fresh)
-            rows = np.array(next_rows, int)
-    return out
-
-
-def _verify_blocks(percent: int):
-    """Links between two blocks, or within one: forest edges and link counts (a = b)."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        ids, first = np.unique(rows.column("s").to_numpy(), return_index=True)  # a set may come from rows that share an id
-        side, copies = rows.column("side").to_numpy()[first], rows.column("copies").to_numpy()[first]
-        lists = rows.column("shingles").combine_chunks()
-        values, bounds = np.asarray(lists.flatten()).view(np.uint64), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
-        sets = [values[bounds[i] : bounds[i + 1]] for i in first]
-        alone = not side.any()
-        left, right = (np.arange(len(ids)),) * 2 if alone else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
-        out: list[tuple[int, int, int]] = []
-        if len(left) and len(right):
-            m = linked([sets[i] for i in left], None if alone else [sets[i] for i in right], percent)
-            if alone:
-                np.fill_diagonal(m, False)
-            out = [(int(ids[left[i]]), int(ids[right[j]]), 0) for i, j in forest(m)]
-            for own, weight, links in ((left, copies[right], m), *(() if alone else ((right, copies[left], m.T),))):
-                out += [(int(ids[i]), int(ids[i]), int(c)) for i, c in zip(own, links @ weight, strict=True) if c]
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "links": pa.array([x[2] for x in out], pa.int64())})
+class Rows:
+    """Sets as rows of a sparse matrix whose columns are the shingles that two sets hold or more."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(s) for s in sets], np.int64)
+        _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = counts[inverse] > 1
+        row = np.repeat(np.arange(len(sets)), self.size)[shared]
+        self.width = int((counts > 1).sum())
+        self.column = (np.cumsum(counts > 1) - 1)[inverse[shared]]  # ascending in each row
+        self.first = np.searchsorted(row, np.arange(len(sets) + 1))
+        self.row = row
+
+    def _similar(self, both: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+        return 100 * both >= percent * (n + m - both)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the pairs of rows link."""
+        cells = self.row * self.width + self.column
+        count = np.diff(self.first)
+        short = np.where(count[a] <= count[b], a, b)
+        long = a + b - short
+        both = np.zeros(len(a), np.int64)
+        if len(cells):
+            for i, k in spread_out(count[short], _CHUNK):
+                sought = long[i] * self.width + self.column[self.first[short[i]] + k]
+                found = cells[np.minimum(np.searchsorted(cells, sought), len(cells) - 1)] == sought
+                both += np.bincount(i[found], minlength=len(a))
+        return self._similar(both, self.size[a], self.size[b], percent)
+
+    def products(self, left: np.ndarray, right: np.ndarray, percent: int, step: int = 4096) -> np.ndarray:
+        """Which of the rows `left` link with which of `right`, as a boolean matrix."""
+        both = np.zeros((len(left), len(right)))
+        by = np.argsort(self.column, kind="stable")
+        row, column = self.row[by], self.column[by]
+        for low in range(0, self.width, step):
+            i, j = np.searchsorted(column, [low, low + step])
+            dense = np.zeros((len(self.size), min(step, self.width - low)), np.float32)
+            dense[row[i:j], column[i:j] - low] = 1
+            both += dense[left] @ dense[right].T
+        return self._similar(both, self.size[left][:, None], self.size[right][None, :], percent)
+
+
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of 0 to n - 1 that each is connected with by the edges (a, b)."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _verify(percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Links of the pairs given, or else between two blocks or within one: forest edges and link counts (a = b)."""
+
+    def run(rows: pa.Table, pairs: pa.Table) -> pa.Table:
+        ids, first = np.unique(rows.column("s").to_numpy(), return_index=True)
+        found = [np.zeros(0, np.int64)] * 3
+        if len(ids):
+            side, copies = rows.column("side").to_numpy()[first], rows.column("copies").to_numpy()[first]
+            blobs = rows.column("shingles")
+            sets = Rows([np.frombuffer(blobs[int(i)].as_buffer(), np.uint64) for i in first])
+            if pairs.num_rows:
+                a, b = (np.minimum(np.searchsorted(ids, sought := pairs.column(c).to_numpy()), len(ids) - 1) for c in ("s1", "s2"))
+                here = (ids[a] == pairs.column("s1").to_numpy()) & (ids[b] == pairs.column("s2").to_numpy())
+                a, b = a[here], b[here]
+                link = sets.pairs(a, b, percent)
+                a, b = a[link], b[link]
+            else:
+                left, right = (np.arange(len(ids)),) * 2 if not side.any() else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
+                a, b = np.nonzero(sets.products(left, right, percent))
+                a, b = left[a], right[b]
+                once = a < b if not side.any() else slice(None)
+                a, b = a[once], b[once]
+            links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
+            label = least_labels(len(ids), a, b)
+            low, own = np.flatnonzero(label < np.arange(len(ids))), np.flatnonzero(links)
+            found = [np.concatenate(x).astype(np.int64) for x in ((ids[low], ids[own]), (ids[label[low]], ids[own]), (np.zeros(len(low)), links[own]))]
+            T.give_back()
+        return pa.table(dict(zip(("a", "b", "links"), map(pa.array, found), strict=True)))
 
     return run
 
 
+_PIECE = ("cluster", "low", "x", "high", "y", "side")
+
+
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, hot: int = 64, block: int = 1024, small: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links, component, text_hash.
 
     n_links counts the other documents it links with; component is the same for
     linked documents whatever their ids (null without shingles), and text_hash is
-    xxhash64 of the text.  `hot`: longest list whose
-    pairs are made one by one.  `block`: sets of a block; blocks of large sets
-    hold fewer.  `small`: keys that are broadcast at most; more are joined by a shuffle.
+    xxhash64 of the text.  `hot`: pairs that a list may give for each of its
+    groups, and sets that a group may have, before they become a crowd.  `block`:
+    sets of a block; blocks of large sets hold fewer.  `small`: keys that are
+    broadcast at most, and in no more than 64 MB; more are joined by a shuffle.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -344,38 +409,91 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, hot: int = 64, bl
     index = docs.mapInArrow(_index(k, percent, buckets, often_ranked(docs, k)), "kind int, bucket int, blob binary").persist(StorageLevel.DISK_ONLY)
     try:
         rows = cut(index.where("kind = 1").select("blob").mapInArrow(_unpack_docs, "doc_id long, n long, g long, s long, text_hash long"))
-        met = cut(index.where("kind = 0").select("bucket", "blob").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(percent, hot), "g1 long, g2 long, n1 long, n2 long, hot boolean, shared long"))
+        met = index.where("kind = 0").select("bucket", "blob").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(percent, hot), "g1 long, g2 long, crowd boolean")
+        met = cut(met.groupBy("g1", "g2").agg(F.max("crowd").alias("crowd")))
     finally:
         index.unpersist()
-    members = cut(rows.where("n > 0").groupBy("g", "s", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    groups = members.groupBy("g").agg(F.min("s").alias("head"))
-    # What two sets share up to the end of the prefix that ends first lies in both
-    # prefixes, so a pair that links shares at least `enough` of those shingles, or
-    # some in hot lists, which are not counted here.
-    pairs = met.groupBy("g1", "g2", "n1", "n2").agg(F.max("hot").alias("hot"), F.sum("shared").alias("shared"))
-    prefix = "n{0} - (%d * n{0} + 99) div 100 + 1" % percent
-    overlap = f"({percent} * (n1 + n2) + {99 + percent}) div {100 + percent}"
-    enough = f"least({', '.join(f'{overlap} - n{i} + {prefix.format(i)}' for i in (1, 2))})"
-    heads = [groups.select(F.col("g").alias(f"g{i}"), F.col("head").alias(x)) for i, x in ((1, "a"), (2, "b"))]
-    across = pairs.where(f"hot or shared >= {enough}").select("g1", "g2").join(heads[0], "g1").join(heads[1], "g2").select("a", "b")
-    within = members.join(groups, "g").select(F.col("head").alias("a"), F.col("s").alias("b"))
-    clusters = components(across.unionByName(within)).withColumnsRenamed({"node": "s", "root": "cluster"})
-    needed = cut(clusters.join(members.select("s", "rep", "n", "copies"), "s"))
-    placed = cut(_blocks(needed, block, percent))
-    ready = F.broadcast(placed) if placed.count() <= small else placed
-    chosen = docs.join(ready, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "s", "copies", "cluster", "pieces")
-    sets = chosen.mapInArrow(_sets(k), "s long, copies long, cluster long, pieces array<struct<low:int,x:int,high:int,y:int,side:int>>, shingles array<long>")
-    blocks = sets.select("cluster", F.explode("pieces").alias("p"), "s", "copies", "shingles").select("cluster", "p.*", "s", "copies", "shingles")
-    tested = cut(blocks.groupBy("cluster", "low", "x", "high", "y").applyInArrow(_verify_blocks(percent), "a long, b long, links long"))
+    texts = rows.where("n > 0").groupBy("doc_id", "text_hash", "g", "s", "n").agg(F.count("*").alias("copies"))
+    texts = cut(texts)
+    repeated = not texts.where("copies > 1").isEmpty()
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash"))
+    members = cut(texts.groupBy("g", "s", "n").agg(rep.alias("rep"), F.sum("copies").alias("copies")))
+    crowds, pairs = _crowds(met, members, hot)
+    tasks = _tasks(pairs)
+    blocks = _blocks(members.join(crowds, "g").select("s", "n", "cluster"), block, percent)
+    both = [tasks.select(F.col(x).alias("s"), F.array(F.struct(*_PIECE)).alias("pieces")) for x in ("s1", "s2")]
+    needed = blocks.unionByName(both[0].unionByName(both[1]).distinct())
+    needed = needed.groupBy("s").agg(F.flatten(F.collect_list("pieces")).alias("pieces")).join(members.select("s", "copies", "rep.doc_id", "rep.text_hash"), "s")
+    needed = cut(needed.select("s", "copies", "pieces", F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash")))
+    of_it = needed.agg(F.count("*"), F.sum(64 + 32 * F.size("pieces"))).first()
+    ready = F.broadcast(needed) if of_it[0] <= small and (of_it[1] or 0) <= _SENT else needed
+    chosen = docs.join(ready, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash"))).select("text", "s", "copies", "pieces")
+    sets = chosen.mapInArrow(_sets(k), "s long, copies long, pieces array<struct<cluster:long,low:int,x:int,high:int,y:int,side:int>>, shingles binary")
+    if repeated:  # rows equal in doc_id and text all bring their set
+        sets = sets.dropDuplicates(["s"])
+    placed = sets.select(F.explode("pieces").alias("p"), "s", "copies", "shingles").select("p.*", "s", "copies", "shingles")
+    by = _PIECE[:-1]
+    tested = cut(placed.groupBy(*by).cogroup(tasks.select(*by, "s1", "s2").groupBy(*by)).applyInArrow(_verify(percent), "a long, b long, links long"))
     links = tested.where("a = b").groupBy(F.col("a").alias("s")).agg(F.sum("links").alias("links"))
     roots = components(tested.where("a <> b").select("a", "b")).withColumnRenamed("node", "s")
     classes = members.join(roots, "s", "left").join(links, "s", "left").withColumn("root", F.coalesce("root", "s"))
-    least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = classes.groupBy("root").agg(F.min("rep.doc_id").alias("component_id"))
     classes = classes.join(least, "root").select("s", "root", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component"), "text_hash")
     return rows.where("n > 0").join(classes, "s").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", F.col("root").alias("component"), "text_hash").unionByName(empty)
 
 
+def _crowds(met: DataFrame, members: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(g, cluster) of the groups in crowds, and (s1, n1, s2, n2): all pairs of sets to verify besides."""
+    counts = members.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
+    counts = cut(counts)
+    large = cut(counts.where(f"m > {hot}").select("g"))
+    if not large.isEmpty():
+        for x in ("g1", "g2"):
+            met = met.join(large.select(F.col("g").alias(x), F.lit(True).alias("large")), x, "left").withColumn("crowd", F.col("crowd") | F.col("large").isNotNull()).drop("large")
+        met = cut(met)
+    roots = components(met.where("crowd").select(F.col("g1").alias("a"), F.col("g2").alias("b")))
+    crowds = roots.select(F.col("node").alias("g"), F.col("root").alias("cluster"))
+    crowds = cut(crowds.unionByName(large.join(crowds, "g", "left_anti").select("g", F.col("g").alias("cluster"))))
+    apart = met.where("not crowd")
+    if not crowds.isEmpty():
+        for i in (1, 2):
+            apart = apart.join(crowds.select(F.col("g").alias(f"g{i}"), F.col("cluster").alias(f"c{i}")), f"g{i}", "left")
+        apart = apart.where("c1 is null or c2 is null or c1 <> c2")
+    sides = [members.select(F.col("g").alias(f"g{i}"), F.col("s").alias(f"s{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2)]
+    across = apart.select("g1", "g2").join(sides[0], "g1").join(sides[1], "g2").select("s1", "n1", "s2", "n2")
+    few = counts.join(crowds, "g", "left_anti").select("g")
+    inside = few.join(members.select("g", "s", "n"), "g")
+    inside = inside.select("g", F.col("s").alias("s1"), F.col("n").alias("n1")).join(inside.select("g", F.col("s").alias("s2"), F.col("n").alias("n2")), "g").where("s1 < s2")
+    return crowds, cut(across.unionByName(inside.select("s1", "n1", "s2", "n2")))
+
+
+def _tasks(pairs: DataFrame) -> DataFrame:
+    """Adds the task that verifies a pair, as the columns of a piece.
+
+    A pair goes by the smallest set next to either of its sets, so pairs that
+    share sets mostly meet.  What one such set draws to itself is cut by a hash
+    if it is heavy, and thrown together with others if it is light.
+    """
+    ends = pairs.select(F.col("s1").alias("s"), F.col("s2").alias("o")).unionByName(pairs.select(F.col("s2").alias("s"), F.col("s1").alias("o")))
+    near = ends.groupBy("s").agg(F.min("o").alias("o")).select("s", F.least("s", "o").alias("near"))
+    for i in (1, 2):
+        pairs = pairs.join(near.select(F.col("s").alias(f"s{i}"), F.col("near").alias(f"near{i}")), f"s{i}")
+    pairs = cut(pairs.select("s1", "s2", F.least("near1", "near2").alias("near"), (F.col("n1") + F.col("n2")).alias("w")))
+    weights = cut(pairs.groupBy("near").agg(F.sum("w").alias("of_near")))
+    bins = 1 + (weights.where(f"of_near <= {ELEMENTS}").agg(F.sum("of_near")).first()[0] or 0) // ELEMENTS
+    pairs = pairs.join(weights, "near")
+    light = F.col("of_near") <= ELEMENTS
+    zero = F.lit(-1)
+    return cut(
+        pairs.select(
+            "s1", "s2", F.when(light, F.pmod(F.xxhash64("near"), F.lit(bins))).otherwise(F.col("near")).alias("cluster"),
+            F.when(light, F.lit(-1)).otherwise(F.pmod(F.xxhash64("s1", "s2"), F.ceil(F.col("of_near") / ELEMENTS))).cast("int").alias("low"),
+            zero.alias("x"), zero.alias("high"), zero.alias("y"), F.lit(0).alias("side"),
+        )
+    )
+
+
 def first_of_each(docs: DataFrame, small: int = 1_000_000, **how) -> DataFrame:
     """The rows of `docs` without those linked to an earlier one (by doc_id, null last, then by text).
 
@@ -396,7 +514,7 @@ def first_of_each(docs: DataFrame, small: int = 1_000_000, **how) -> DataFrame:
 
 
 def _blocks(sets: DataFrame, block: int, percent: int = 80) -> DataFrame:
-    """Adds `pieces`: the pairs of blocks that each set takes part in; sets that meet no other go.
+    """(s, pieces): the pairs of blocks that each set of a crowd takes part in; sets that meet no other go.
 
     A small cluster is one block.  In a larger one sizes fall into steps of
     100/percent (5/4 for 80), so linked sets lie in the same or in neighbouring steps (of
@@ -408,17 +526,17 @@ def _blocks(sets: DataFrame, block: int, percent: int = 80) -> DataFrame:
     ratio = max(1.25, 100 / percent)
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio)) + 1e-9).cast("int")
     sets = sets.join(whole, "cluster").withColumn("step", F.when(F.col("whole"), 0).otherwise(step))
-    holds = F.greatest(F.lit(8.0), F.least(F.lit(float(block)), F.lit(float(ELEMENTS)) / F.pow(F.lit(ratio), F.col("step").cast("double"))))
+    holds = F.greatest(F.lit(2.0), F.least(F.lit(float(block)), F.lit(float(ELEMENTS)) / F.pow(F.lit(ratio), F.col("step").cast("double"))))
     counts = sets.groupBy("cluster", "step", "whole").agg(F.count("*").alias("held")).withColumn("parts", F.when(F.col("whole"), 1).otherwise(F.ceil(F.col("held") / holds)).cast("int"))
     around = counts.select("cluster", F.explode(F.array(*(F.struct((F.col("step") + d).alias("step"), F.lit(-d).alias("at"), F.col("parts").alias("parts")) for d in (-1, 0, 1)))).alias("x")).select("cluster", "x.*")
     around = around.groupBy("cluster", "step").agg(*(F.max(F.when(F.col("at") == d, F.col("parts"))).alias(name) for d, name in ((-1, "below"), (0, "parts"), (1, "above"))))
     sets = sets.join(around, ["cluster", "step"]).withColumn("part", F.expr("cast(pmod(xxhash64(s), parts) as int)"))
     pieces = F.expr(
         """concat(
-            array(struct(step as low, part as x, step as high, part as y, 0 as side)),
-            transform(filter(sequence(0, parts - 1), p -> p > part), p -> struct(step as low, part as x, step as high, p as y, 1 as side)),
-            transform(filter(sequence(0, parts - 1), p -> p < part), p -> struct(step as low, p as x, step as high, part as y, 2 as side)),
-            if(above is null, array(), transform(sequence(0, above - 1), p -> struct(step as low, part as x, step + 1 as high, p as y, 1 as side))),
-            if(below is null, array(), transform(sequence(0, below - 1), p -> struct(step - 1 as low, p as x, step as high, part as y, 2 as side))))"""
+            array(struct(cluster as cluster, step as low, part as x, step as high, part as y, 0 as side)),
+            transform(filter(sequence(0, parts - 1), p -> p > part), p -> struct(cluster as cluster, step as low, part as x, step as high, p as y, 1 as side)),
+            transform(filter(sequence(0, parts - 1), p -> p < part), p -> struct(cluster as cluster, step as low, p as x, step as high, part as y, 2 as side)),
+            if(above is null, array(), transform(sequence(0, above - 1), p -> struct(cluster as cluster, step as low, part as x, step + 1 as high, p as y, 1 as side))),
+            if(below is null, array(), transform(sequence(0, below - 1), p -> struct(cluster as cluster, step - 1 as low, p as x, step as high, part as y, 2 as side))))"""
     )
-    return sets.select("s", "rep", "copies", "cluster", pieces.alias("pieces"))
+    return sets.select("s", pieces.alias("pieces"))

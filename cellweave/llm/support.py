@@ -31,26 +31,33 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, small: int = 500_000) -> DataFrame:
     """(node, root) for every node of `edges` (a, b): root is the smallest node it is linked to.
 
     Alternates large-star and small-star steps, each a min per node joined back
-    to the edges, so a hub is a skewed join, never a collected list.  Stops when
-    the edges no longer change; their number never grows.
+    to the edges.  The minima are broadcast for up to `small` edges; of more they
+    are a table of their own, so both sides of the join are plain shuffles and
+    the edges of a hub are split among tasks.  Stops when the edges no longer
+    change; their number never grows.
     """
     edges = cut(_down(edges.select("a", "b")))
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     before = None
+    count = edges.count()
+    if not count:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(most_rounds):
+        few = count <= small
+        keep = (lambda df: df) if few else cut
+        give = F.broadcast if few else cut
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = _down(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = give(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = keep(_down(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))))
+        least = give(large.groupBy("a").agg(F.min("b").alias("m")))
         kept = large.join(least, "a")
-        small = kept.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(kept.select("a", F.col("m").alias("b")))
-        edges = cut(_down(small))
+        small_star = kept.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(kept.select("a", F.col("m").alias("b")))
+        edges = cut(_down(small_star))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        count = now[0]
         if now == before:
             break
         before = now
