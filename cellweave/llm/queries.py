@@ -11,7 +11,7 @@ from . import chat_format, language_id, mixing, neighbour_quality, oracles, toxi
 from .decontaminate import decontaminate
 from .learning import labelled_sample
 from .ngram_join import ngram_join
-from .pii import pseudonymise
+from .pii import key_of, pseudonymise
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .support import table
@@ -71,7 +71,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

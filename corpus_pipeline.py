@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cellweave.llm import language_id, mixing
 from cellweave.llm.decontaminate import without_contaminated
 from cellweave.llm.ngram_join import first_of_each
-from cellweave.llm.pii import pseudonymise
+from cellweave.llm.pii import key_of, pseudonymise
 from cellweave.llm.support import shared_folder, table
 
 
@@ -31,7 +31,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data."""
-    return pseudonymise(docs).select(*docs.columns)
+    return pseudonymise(docs, key_of(spark)).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

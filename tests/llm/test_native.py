@@ -121,18 +121,18 @@ def test_no_surrogate_is_its_entity(spark):
     """Short names, of which some were their own surrogates, and numbers."""
     names = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "aeioubcdhnst"]
     rows = [(i, f"Mr {w} at 10.0.{i % 256}.{i // 256}", None) for i, w in enumerate(names)] + [(1000 + i, f"123-45-{i:04d}", None) for i in range(300)]
-    found = pii.entities(_docs(spark, rows))
+    found = pii.entities(_docs(spark, rows), "corpus")
     assert found.where(F.lower("entity") == F.lower("surrogate")).count() == 0
     assert pii.collisions(found).where("why = 'shared'").count() == 0 and found.select("surrogate").distinct().count() == found.count()
 
 
 def test_hint_covers_all_patterns(spark):
     """Texts whose only entity is of one kind, with as few other marks as the kind allows."""
-    texts = {"email": "a@b.cd", "secret": "token=abcdef", "key": "AKIA" + "ABCDEFGHIJKLMNOP", "iban": "DE89370400440532013000", "card": "4111111111111111", "phone": "+49 89 1234", "ssn": "123-45-6789", "ip": "1.2.3.4", "name": "Mr Lee"}
-    more = {"key": ["ASIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "a" * 36, "sk-" + "b" * 20], "secret": ["pwd: abcdef"]}
+    texts = {"email": "a@b.cd", "secret": "token=abcdef", "key": "AKIA" + "ABCDEFGHIJKLMNOP", "iban": "DE89370400440532013000", "card": "4111111111111111", "phone": "+49 89 1234", "ssn": "123-45-6789", "ip": "1.2.3.4", "ipv6": "2001:db8::7", "name": "Mr Lee"}
+    more = {"key": ["ASIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "a" * 36, "sk-" + "b" * 20], "secret": ["pwd: abcdef"], "phone": ["0171 2345678"], "email": ["jörg@bücher.example"], "ipv6": ["2001:0db8:0:0:0:0:0:1"]}
     rows = [(i, t, k) for i, (k, t) in enumerate([*texts.items(), *((k, t) for k, ts in more.items() for t in ts)])]
     assert list(texts) == list(pii.PATTERNS)
-    got = {r["doc_id"]: r for r in pii.pseudonymise(_docs(spark, rows)).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(_docs(spark, rows), "corpus").collect()}
     assert all(got[i]["entity_kinds"] == [k] and got[i]["text"] != t for i, t, k in rows)
 
 
@@ -148,7 +148,7 @@ def test_surrogates_are_distinct(spark):
     assert pii.collisions(found).where("why = 'shared'").count() == 0
     same = spark.createDataFrame([("email", "a@b.com", "q@r.com", 1), ("email", "c@d.com", "Q@r.com", 1), ("ip", "1.2.3.4", "1.2.3.4", 1)], "kind string, entity string, surrogate string, n long")
     assert sorted(r["why"] for r in pii.collisions(same).collect()) == ["an entity", "shared"]
-    assert pii.pseudonymise(_docs(spark, [])).count() == 0
+    assert pii.pseudonymise(_docs(spark, []), "k").count() == 0
 
 
 def _chat(spark, rows):
