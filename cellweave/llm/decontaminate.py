@@ -1,7 +1,8 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is cut by documents: each segment covers some millions of words and
-holds, per term, the sorted positions of the term in the segment.  Segments are
+holds, per term, the sorted positions of the term in the segment, whatever the
+benchmark, so a stored index serves any.  Segments are
 built where the documents are read, stored in the shared checkpoint folder, and
 searched where they lie, so no posting list is ever gathered across segments and
 a term or passage that every document holds is spread like any other.
@@ -19,6 +20,7 @@ ignored; an empty table gives no rows, an empty benchmark no hits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,7 @@ from pyspark.sql import functions as F
 from . import textops as T
 from .support import cut
 
-SEGMENT = 1 << 22  # words of a segment
-VOCABULARY = 2_000_000  # terms that are broadcast at most; with more, every term is indexed
+SEGMENT = 1 << 21  # words of a segment
 QUERY_WORDS = 2_000_000  # words of test items searched in one pass; more take several
 INDEX = "segment string, doc_id array<long>, text_hash array<long>, first array<long>, n_words array<long>, term array<long>, start array<long>, positions binary"
 HITS = "segment string, place int, doc_id long, text_hash long, n_words long, spans array<struct<from:long,until:long>>, items array<string>"
@@ -44,7 +45,7 @@ def _unpack(block: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.int32), dtype=np.int64)
 
 
-def _build(terms: np.ndarray | None, gap: int):
+def _build(gap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -73,15 +74,11 @@ def _build(terms: np.ndarray | None, gap: int):
                 n = np.diff(words.first)
                 first = at + np.concatenate([[0], np.cumsum(n + gap)])
                 place = np.arange(len(words.hash)) + np.repeat(first[:-1] - words.first[:-1], n)
-                hashes = words.hash
-                if terms is not None:
-                    known = _known(hashes, terms)
-                    hashes, place = hashes[known], place[known]
                 ids.append(doc_id.slice(begin, end - begin))
                 text_hashes.append(T.column(batch, "text_hash").slice(begin, end - begin))
                 firsts.append(first[:-1])
                 counts.append(n)
-                found.append((hashes, place))
+                found.append((words.hash, place))
                 at = int(first[-1])
                 if at >= SEGMENT:
                     yield segment()
@@ -93,16 +90,10 @@ def _build(terms: np.ndarray | None, gap: int):
     return run
 
 
-def _known(hashes: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    if not len(terms):
-        return np.zeros(len(hashes), bool)
-    return terms[np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)] == hashes
-
-
-def build_index(docs: DataFrame, terms: np.ndarray | None = None, gap: int = 1) -> DataFrame:
-    """The stored index of `docs`; `terms` (sorted word hashes) limits it to a vocabulary."""
+def build_index(docs: DataFrame, gap: int = 1) -> DataFrame:
+    """The stored index of `docs`."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    return cut(docs.mapInArrow(_build(terms, gap), INDEX))
+    return cut(docs.mapInArrow(_build(gap), INDEX))
 
 
 class Postings:
@@ -154,35 +145,75 @@ class Postings:
         return np.searchsorted(self.first, place, "right") - 1
 
 
-def _windows(items: list[tuple[str, np.ndarray]], k: int) -> list[tuple[np.ndarray, list[int], list[list[str]]]]:
-    """Distinct windows by length: terms (one row each) and the items that hold each."""
-    owners: dict[int, dict[bytes, set[str]]] = {}
-    for name, hashes in items:
-        n = min(k, len(hashes))
-        for i in range(len(hashes) - n + 1 if n else 0):
-            owners.setdefault(n, {}).setdefault(hashes[i : i + n].tobytes(), set()).add(name)
-    return [(np.frombuffer(b"".join(w), np.uint64).reshape(len(w), n), n, [sorted(x) for x in w.values()]) for n, w in owners.items()]
+class Phrases:
+    """The distinct windows of some items: window w is terms[start[w] : start[w] + length[w]]."""
+
+    def __init__(self, items: list[tuple[str, np.ndarray]], k: int) -> None:
+        self.names = [name for name, _ in items]
+        self.terms = np.concatenate([np.zeros(0, np.uint64), *(h for _, h in items)])
+        size = np.array([len(h) for _, h in items], np.int64)
+        first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        starts, lengths, owners, bounds, held = [], [], [], [np.zeros(1, np.int64)], 0
+        for n in np.unique(np.minimum(size, k)):
+            if not n:
+                continue
+            of = np.flatnonzero(np.minimum(size, k) == n)
+            many = size[of] - n + 1
+            item = np.repeat(of, many)
+            at = np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many) + first[item]
+            _, window, inverse = np.unique(T.windows(self.terms, int(n))[at], return_index=True, return_inverse=True)
+            pairs = np.unique(np.stack([inverse, item], 1), axis=0)
+            starts.append(at[window])
+            lengths.append(np.full(len(window), n))
+            owners.append(pairs[:, 1])
+            bounds.append(held + np.searchsorted(pairs[:, 0], np.arange(len(window)), "right"))
+            held += len(pairs)
+        none = np.zeros(0, np.int64)
+        self.start, self.length = np.concatenate([none, *starts]), np.concatenate([none, *lengths])
+        self.owner, self.bound = np.concatenate([none, *owners]), np.concatenate(bounds)
+
+    def within(self, slots: np.ndarray, k: int) -> np.ndarray:
+        """The windows all of whose terms have a slot."""
+        ok = np.ones(len(self.start), bool)
+        for j in range(k):
+            inside = self.length > j
+            ok[inside] &= slots[self.start[inside] + j] >= 0
+        return np.flatnonzero(ok)
+
+    def of(self, w: int) -> list[str]:
+        return [self.names[i] for i in self.owner[self.bound[w] : self.bound[w + 1]]]
 
 
 def _search(items: list[tuple[str, np.ndarray]], k: int, within: int | None):
+    def phrases(lists: Postings, wanted: Phrases) -> Iterator[tuple[np.ndarray, int, list[str]]]:
+        slots = lists.slots(wanted.terms)
+        for w in wanted.within(slots, k):
+            n = int(wanted.length[w])
+            yield lists.phrase(slots[wanted.start[w] : wanted.start[w] + n]), n, wanted.of(w)
+
+    def places(lists: Postings, wanted: list[tuple[str, np.ndarray]]) -> Iterator[tuple[np.ndarray, int, list[str]]]:
+        for name, terms in wanted:
+            slots = lists.slots(terms)
+            if (slots >= 0).all():
+                yield lists.near(slots, within), 1, [name]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = _windows(items, k) if within is None else [(np.unique(h)[None, :], len(h), [[name]]) for name, h in items if len(h)]
+        wanted = Phrases(items, k) if within is None else [(name, np.unique(h)) for name, h in items if len(h)]
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = {n: x.values if isinstance(x := T.column(batch, n)[i], pa.ListScalar) else x.as_py() for n in batch.schema.names}
                 lists = Postings(row)
                 begin: list[np.ndarray] = [np.zeros(0, np.int64)]
                 length: list[np.ndarray] = [np.zeros(0, np.int64)]
                 docs_items: dict[int, set[str]] = {}
-                for terms, n, names in wanted:
-                    slots = lists.slots(terms.reshape(-1)).reshape(terms.shape)
-                    for w in np.flatnonzero((slots >= 0).all(axis=1)):
-                        at = lists.phrase(slots[w]) if within is None else lists.near(slots[w], within)
-                        if len(at):
-                            begin.append(at)
-                            length.append(np.full(len(at), n if within is None else 1))
-                            for d in np.unique(lists.texts(at)).tolist():
-                                docs_items.setdefault(d, set()).update(names[w])
+                for at, n, names in (phrases if within is None else places)(lists, wanted):
+                    if len(at):
+                        begin.append(at)
+                        length.append(np.full(len(at), n))
+                        for d in np.unique(lists.texts(at)).tolist():
+                            docs_items.setdefault(d, set()).update(names)
                 yield _hits(row, lists, np.concatenate(begin), np.concatenate(length), docs_items)
+        T.give_back()
 
     return run
 
@@ -201,7 +232,7 @@ def _hits(row: dict, lists: Postings, begin: np.ndarray, length: np.ndarray, ite
         for d, a, b in zip(lists.texts(begin[start]).tolist(), begin[start].tolist(), ends.tolist(), strict=True):
             spans[d].append({"from": a - int(lists.first[d]), "until": b - int(lists.first[d])})
     kind = pa.list_(pa.struct([("from", pa.int64()), ("until", pa.int64())]))
-    columns = [pa.array([row["segment"]] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array(row["doc_id"], pa.int64()), pa.array(row["text_hash"], pa.int64()), pa.array(lists.n_words), pa.array(spans, kind), pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string()))]
+    columns = [pa.array([row["segment"]] * n), pa.array(np.arange(n, dtype=np.int32)), row["doc_id"], row["text_hash"], pa.array(lists.n_words), pa.array(spans, kind), pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string()))]
     return pa.RecordBatch.from_arrays(columns, ["segment", "place", "doc_id", "text_hash", "n_words", "spans", "items"])
 
 
@@ -224,15 +255,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 13, percent: i
     total = items.agg(F.sum(F.expr("1 + length(text) div 4"))).first()[0] or 0
     blocks = max(1, -(-total // QUERY_WORDS))
     parts = [items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) for b in range(blocks)]
-    first = _hashed(parts[0].toLocalIterator())
-    vocabulary = None
-    if blocks == 1:
-        vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for _, h in first)]))
-        vocabulary = vocabulary if len(vocabulary) <= VOCABULARY else None
-    index = build_index(docs, vocabulary)
-    found = index.mapInArrow(_search(first, k, within), HITS)
-    for part in parts[1:]:
-        found = found.unionByName(index.mapInArrow(_search(_hashed(part.toLocalIterator()), k, within), HITS))
+    index = build_index(docs)
+    found = reduce(DataFrame.unionByName, (index.mapInArrow(_search(_hashed(part.toLocalIterator()), k, within), HITS) for part in parts))
     if blocks > 1:
         found = found.groupBy("segment", "place", "doc_id", "text_hash", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         spans = "aggregate(array_sort(spans), struct(0L as n, 0L as reach), (a, s) -> struct(a.n + greatest(0L, s.until - greatest(s.from, a.reach)) as n, greatest(a.reach, s.until) as reach), a -> a.n)"
