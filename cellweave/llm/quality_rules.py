@@ -6,6 +6,11 @@ MADs (the deterministic start) concentration steps keep the three quarters of
 the rows with the smallest Mahalanobis distances and take their mean and
 covariance, and a last step reweights.  A document far outside is rejected.
 
+This is MCD with one deterministic start and STEPS concentration steps, in place
+of the best of many random starts run until nothing changes; tests compare its
+verdicts with those of such a plain one.  Floors (below) are added to the
+covariance, since most texts have no symbols or repetitions at all.
+
 Every step reads all rows, but only sums per group and per bin of the distance
 are shuffled (at most BINS rows per group and task), so a group may hold any
 share of the rows.  The cut lies on a bin's edge; distances are binned to a
@@ -33,6 +38,8 @@ from pyspark.sql import functions as F
 from . import textops as T
 from .support import cut
 
+GROUPS = 100_000  # rows of a table by group that is broadcast, at most; larger ones are joined by a shuffle
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 #: Transformed statistics, each with a floor for its standard deviation: a spread
 #: under the floor (most texts have no symbols at all) is not worth a rejection.
@@ -174,15 +181,22 @@ def _groups(stats: DataFrame, least: int) -> DataFrame:
     sizes = cut(stats.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n")))
     in_all = sizes.agg(F.sum("n")).first()[0] or 0
     by_lang = sizes.groupBy("lang").agg(F.sum("n").alias("of_lang"))
+    few = sizes.count() <= GROUPS
     both = sizes.alias("s").join(by_lang.alias("l"), F.col("s.lang").eqNullSafe(F.col("l.lang")))
     named = both.select(
         F.col("s.lang").alias("glang"),
         F.col("source").alias("gsource"),
         F.when(F.col("n") >= least, F.to_json(key_of("s.lang", "source"))).when(F.col("of_lang") >= least, F.to_json(key_of("s.lang"))).when(F.lit(in_all >= least), F.lit("all")).alias("g"),
     )
+    named = F.broadcast(named) if few else cut(named)
     return stats.join(named, stats["lang"].eqNullSafe(F.col("glang")) & stats["source"].eqNullSafe(F.col("gsource")), "left").drop("glang", "gsource")
 
 
+def _ready(by_group: DataFrame) -> DataFrame:
+    """A stored table by group, to be joined with all rows: broadcast, or else of plain shuffles, in which a large group is split."""
+    return F.broadcast(by_group) if by_group.count() <= GROUPS else by_group
+
+
 def key_of(*names: str) -> Column:
     return F.array(*(F.coalesce(F.concat(F.lit("="), F.col(n)), F.lit("null")) for n in names))
 
@@ -192,16 +206,16 @@ def quality_rules(docs: DataFrame, tail: float = 1e-3, least: int = 50) -> DataF
 
     `tail`: the share of a normal sample that would be rejected.
     """
-    stats = statistics(docs)
+    stats = cut(statistics(docs))
     rows = cut(_groups(stats, least).withColumns({x: F.when(~F.col("base_failed"), F.expr(f)) for x, (f, _) in FEATURES.items()}))
     fit = rows.where("not base_failed and g is not null").select("g", *FEATURES)
-    center = fit.groupBy("g").agg(*(F.percentile_approx(f"x{i}", 0.5).alias(f"m{i}") for i in range(_D)))
+    center = _ready(cut(fit.groupBy("g").agg(*(F.percentile_approx(f"x{i}", 0.5).alias(f"m{i}") for i in range(_D)))))
     around = fit.join(center, "g").groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(_D)), *(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5).alias(f"a{i}") for i in range(_D)))
-    params = cut(around.mapInPandas(lambda parts: (_start(p) for p in parts if len(p)), _PARAMS))
+    params = _ready(cut(around.mapInPandas(lambda parts: (_start(p) for p in parts if len(p)), _PARAMS)))
     for limit in [None] * STEPS + [chi2_quantile(0.975, _D)]:
         binned = fit.join(params, "g").withColumn("bin", F.expr(f"cast(greatest(0, least({BINS - 1}, floor((log2(greatest({_distance_sql()}, 1e-9)) + 10) * 16))) as int)"))
         sums = binned.groupBy("g", "bin").agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(_D)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(_D) for j in range(i, _D)))
-        params = cut(sums.groupBy("g").applyInPandas(_concentrate(limit), _PARAMS))
+        params = _ready(cut(sums.groupBy("g").applyInPandas(_concentrate(limit), _PARAMS)))
     judged = rows.join(params, "g", "left").withColumn("distance", F.expr(_distance_sql()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(1 - tail, _D), F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
