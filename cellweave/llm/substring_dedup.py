@@ -4,8 +4,10 @@ A window is k consecutive words.  Documents are cut into runs by ranges of
 doc_id, so every earlier run holds smaller ids only.  Each run is written once as
 sorted, immutable blocks of fingerprints, dealt out by fingerprint range.  Per
 range the runs are merge-joined: a fingerprint belongs to the first run that has
-it, and later runs are told which of theirs are old.  Matches are verified by an
-independent tag.  Each run then removes what old windows cover, or windows that
+it, and later runs are told which of theirs are old.  The merge is a stable merge
+sort, which finds the sorted runs and merges them.  Matches between runs are
+verified by 24 bits of an independent hash (88 bits agree), matches inside a run
+by all of its 64.  Each run then removes what old windows cover, or windows that
 start in a smaller document of the same run.
 
 `previous` adds blocks of an index kept from earlier batches (run -1); they count
@@ -33,6 +35,7 @@ from . import textops as T
 from .support import width
 
 _TAG = np.uint64(0xA24BAED4963EE407)
+TAG_BYTES = 3  # of the hash that verifies, in a block
 BLOCKS = "run int, bucket int, block binary"
 
 
@@ -41,23 +44,29 @@ def pack(values: np.ndarray, tags: np.ndarray) -> bytes:
     steps = np.diff(values)
     n = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
     head = np.array([len(values), n, values[0] if len(values) else 0], np.uint64)
-    return head.tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :n].tobytes() + tags.tobytes()
+    return head.tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :n].tobytes() + tags.view(np.uint8).reshape(-1, 4)[:, :TAG_BYTES].tobytes()
 
 
 def unpack(block: memoryview | bytes) -> tuple[np.ndarray, np.ndarray]:
     count, n, first = (int(x) for x in np.frombuffer(block, np.uint64, 3))
     if not count:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     steps = np.zeros((count, 8), np.uint8)
     steps[1:, :n] = np.frombuffer(block, np.uint8, (count - 1) * n, 24).reshape(-1, n)
     out = steps.reshape(-1).view(np.uint64)
     out[0] = first
-    return np.cumsum(out, dtype=np.uint64), np.frombuffer(block, np.uint8, count, 24 + (count - 1) * n)
+    tags = np.zeros((count, 4), np.uint8)
+    tags[:, :TAG_BYTES] = np.frombuffer(block, np.uint8, count * TAG_BYTES, 24 + (count - 1) * n).reshape(-1, TAG_BYTES)
+    return np.cumsum(out, dtype=np.uint64), tags.reshape(-1).view(np.uint32)
 
 
-def _tags(windows: np.ndarray, words: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
-    """Eight bits of another hash of the same window."""
-    return (T.windows(T.mix(words ^ _TAG), k)[at] >> np.uint64(56)).astype(np.uint8) if len(windows) else np.zeros(0, np.uint8)
+def _second(words: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
+    """Another hash of the windows that start at the words `at`."""
+    return T.windows(T.mix(words ^ _TAG), k)[at]
+
+
+def _tags(words: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
+    return (_second(words, k, at) >> np.uint64(64 - 8 * TAG_BYTES)).astype(np.uint32)
 
 
 def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
@@ -66,13 +75,13 @@ def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
 
 def _write_run(k: int, buckets: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        all_values, all_tags = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+        all_values, all_tags = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
         for texts in rows.column("text").chunks:
             for _, _, data, offsets in T.slices(texts):
                 words = T.split(data, offsets, T.SPACED)
                 h, at, _ = T.text_windows(words, k)
                 all_values.append(h)
-                all_tags.append(_tags(h, words.hash, k, at))
+                all_tags.append(_tags(words.hash, k, at))
         values, first = np.unique(np.concatenate(all_values), return_index=True)
         tags = np.concatenate(all_tags)[first]
         bucket = _bucket(values, buckets).astype(np.int32)
@@ -89,7 +98,7 @@ def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts = [unpack(b.as_buffer()) for b in rows.column("block")]
     runs = np.repeat(rows.column("run").to_numpy(), [len(v) for v, _ in parts])
     values, tags = np.concatenate([v for v, _ in parts]), np.concatenate([t for _, t in parts])
-    by = np.argsort(values)
+    by = np.argsort(values, kind="stable")  # a merge of the sorted blocks
     return values[by], tags[by], runs[by]
 
 
@@ -103,7 +112,7 @@ def _old_of(runs_in_all: int):
         start = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
         group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(values))))
         first = np.minimum.reduceat(runs, start)
-        owner = np.zeros(len(start), np.uint8)
+        owner = np.zeros(len(start), np.uint32)
         is_first = runs == first[group]
         owner[group[is_first]] = tags[is_first]
         old = np.flatnonzero((runs > first[group]) & (first[group] < runs_in_all) & (tags == owner[group]))
@@ -123,17 +132,18 @@ def _remove(k: int):
 
     def run(rows: pa.Table, lists: pa.Table) -> pa.Table:
         old = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(b.as_buffer(), np.uint64) for b in lists.column("old"))]))
-        rows = rows.combine_chunks()
         if not rows.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)})
         ids_column = rows.column("doc_id").combine_chunks()
         ids, known = ids_column.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids_column.is_valid())
         parts = []
-        for begin, end, data, offsets in T.slices(rows.column("text").combine_chunks()):
+        seconds = []
+        for begin, end, data, offsets in T.slices(rows.column("text").cast(pa.large_string()).combine_chunks()):  # of any length in all
             words = T.split(data, offsets, T.SPACED)
             h, at, text = T.text_windows(words, k)
             parts.append((begin, end, words, h, at, text + begin))
-        h = np.concatenate([p[3] for p in parts])
+            seconds.append(_second(words.hash, k, at))
+        h, second = np.concatenate([p[3] for p in parts]), np.concatenate(seconds)
         text = np.concatenate([p[5] for p in parts])
         covered = _in_sorted(h, old)
         by = np.argsort(h)
@@ -142,8 +152,9 @@ def _remove(k: int):
         again[:-1] |= again[1:]
         by = by[again & known[text[by]]] if len(by) else by  # windows found more than once, in identified rows
         if len(by):
-            value, doc = h[by], ids[text[by]]
-            start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+            by = by[np.lexsort((second[by], h[by]))]
+            value, other, doc = h[by], second[by], ids[text[by]]
+            start = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (other[1:] != other[:-1])]))
             least = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.append(start, len(value))))
             covered[by[doc > least]] = True
         out = []
@@ -155,7 +166,7 @@ def _remove(k: int):
             kept = np.flatnonzero(~drop)
             counts = np.diff(np.searchsorted(kept, words.first))
             out.append(pa.table([ids_column.slice(begin, end - begin), pa.array(n_words), pa.array(n_words - counts), joined(words, kept, counts)], names=names))
-        del parts, h, text, by, covered
+        del parts, h, second, seconds, text, by, covered
         T.give_back()
         return pa.concat_tables(out)
 
