@@ -3,7 +3,8 @@
 For each language a zstandard dictionary of raw content is made from a bounded
 sample of labelled texts (at most `samples` texts per language, chosen by a hash
 of the text, so copies count once; of a text over `sample_chars` characters PIECES
-pieces of that length in all, from its beginning to its end).  A text is
+pieces of that length in all, from its beginning to its end), for the `languages`
+most frequent languages.  A text is
 encoded whole, in chunks, with every dictionary; the language whose dictionary
 gives the fewest bytes wins, and a text is rejected where the runner-up takes
 less than a twentieth more (`margin`; the README has the margins of clean,
@@ -47,15 +48,16 @@ def normal(text: str) -> bytes:
     return out
 
 
-def learn(labelled: DataFrame, samples: int = 64, sample_chars: int = 1500) -> dict[str, bytes]:
+def learn(labelled: DataFrame, samples: int = 64, sample_chars: int = 1500, languages: int = 256) -> dict[str, bytes]:
     """Raw dictionaries by language, from the rows (text, lang) given; the most frequent language first."""
     rows = labelled.where("lang is not null and text is not null").select("lang", "text").withColumn("h", F.xxhash64("text"))
+    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    rows = rows.where(F.col("lang").isin([r["lang"] for r in often]))
     chosen = rows.groupBy("lang", F.pmod("h", F.lit(samples)).alias("slot")).agg(F.min("h").alias("h")).select("lang", "h")
     texts = rows.join(F.broadcast(chosen.select(F.col("lang").alias("l"), F.col("h").alias("k"))), (F.col("lang") == F.col("l")) & (F.col("h") == F.col("k")))
     piece = sample_chars // PIECES
     spread = f"concat_ws(' ', transform(sequence(0, {PIECES - 1}), i -> substring(text, cast(1 + i * (length(text) - {piece}) div {PIECES - 1} as int), {piece})))"
     texts = texts.select("lang", "h", F.when(F.length("text") > sample_chars, F.expr(spread)).otherwise(F.col("text")).alias("text")).dropDuplicates(["lang", "h"])
-    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     out: dict[str, list[bytes]] = {row["lang"]: [] for row in often}
     for row in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"])):
         out[row["lang"]].append(normal(row["text"]))

@@ -1,4 +1,4 @@
-"""Mixing sources to target weights, by DataFrame functions alone.
+"""Mixing sources to target weights by hash-random keys, without sorting a source, by DataFrame functions alone.
 
 Targets fill sources in proportion to their weights up to `most` times their
 size; what a full source cannot take goes to the others (water filling, solved

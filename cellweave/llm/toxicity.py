@@ -2,10 +2,11 @@
 
 Terms are words and their first four to six bytes, lowered and hashed to 2**BITS
 bins.  A model is trained on a bounded, balanced sample of labelled texts: bins
-that tell the classes apart are chosen by a chi-square test, and the machine
+that tell the classes apart, alone or in a pair with another bin, are chosen by
+chi-square tests, and the machine
 learns a weight per bin and, by factor vectors, a weight per pair of bins, so
 that two terms may mean more (or less) together than each alone.  The model has
-at most `terms` bins and is broadcast; every text is scored whole.
+at most `terms` bins (and PAIRED more) and is broadcast; every text is scored whole.
 
 Defined cases: a text without a chosen term (null and empty ones too) gets the
 score of no evidence, and with no labelled rows every score is 0; repeated rows
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 from . import textops as T
 
 BITS = 22
+#: What a bin needs to be chosen: chi square alone, or of a pair with another bin
+#: (four times that of either alone) among the most frequent, and texts that hold it.
+ALONE, TOGETHER, PAIRED, LEAST = 15, 30, 1024, 4
 PREFIXES = (4, 5, 6)  # bytes
 
 
@@ -92,8 +96,9 @@ def fit(lists: list[np.ndarray], y: np.ndarray, terms: int, factors: int, epochs
     c0 = np.bincount(column, minlength=len(bins)) - c1
     p = (c1 + c0) / len(y)
     chi = (c1 / n1 - c0 / n0) ** 2 / (p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-    chosen = np.sort(np.argsort(-chi, kind="stable")[:terms])
-    chosen = chosen[(chi[chosen] > 15) & (c1 + c0 >= 4)[chosen]]
+    chosen = np.argsort(-chi, kind="stable")[:terms]
+    chosen = chosen[(chi[chosen] > ALONE) & (c1 + c0 >= LEAST)[chosen]]
+    chosen = np.union1d(chosen, _telling_pairs(row, column, y, chi, p))
     place = np.full(len(bins), -1)
     place[chosen] = np.arange(len(chosen))
     keep = place[column] >= 0
@@ -126,9 +131,27 @@ def fit(lists: list[np.ndarray], y: np.ndarray, terms: int, factors: int, epochs
     return Machine(bins[chosen].astype(np.int64), float(bias), weight, factor)
 
 
+def _telling_pairs(row: np.ndarray, column: np.ndarray, y: np.ndarray, chi: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Terms that tell the classes apart with another term, and not alone, among the PAIRED most frequent ones."""
+    often = np.flatnonzero(p < 0.95)
+    often = np.sort(often[np.argsort(-p[often], kind="stable")[:PAIRED]])
+    place = np.full(len(chi), -1)
+    place[often] = np.arange(len(often))
+    x = np.zeros((len(y), len(often)), np.float32)
+    held = place[column] >= 0
+    x[row[held], place[column][held]] = 1
+    both1, both = x[y == 1].T @ x[y == 1], x.T @ x
+    n1, n = float(y.sum()), float(len(y))
+    rate = both / n
+    joint = (both1 / n1 - (both - both1) / (n - n1)) ** 2 / (rate * (1 - rate) * (1 / n1 + 1 / (n - n1)) + 1e-12)
+    alone = np.maximum(chi[often][:, None], chi[often][None, :])
+    np.fill_diagonal(joint, 0)
+    return often[((joint > TOGETHER) & (joint > 4 * alone) & (both >= LEAST)).any(axis=1)]
+
+
 def _scores(bias: float, weight: np.ndarray, factor: np.ndarray, row: np.ndarray, column: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Scores of n rows and their sums of factor vectors."""
-    sums = np.stack([np.bincount(row, weights=factor[column, f], minlength=n) for f in range(factor.shape[1])], 1)
+    sums = np.stack([np.zeros(n), *(np.bincount(row, weights=factor[column, f], minlength=n) for f in range(factor.shape[1]))], 1)[:, 1:]
     squares = np.bincount(row, weights=(factor[column] ** 2).sum(1), minlength=n)
     return bias + np.bincount(row, weights=weight[column], minlength=n) + ((sums**2).sum(1) - squares) / 2, sums
 
