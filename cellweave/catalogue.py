@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from .functions.canonical import NULL_MARK, text_of
 from .functions.equality import Pair
 from .functions.types import Family, TypeInfo, parse_type
-from .model import ColumnInfo
 from .operators.column_stats import stats_table
 from .operators.join_diff import JoinDiff, with_ascii_known
 from .operators.keyless_diff import keyless_counts
-from .operators.keys import col, duplicate_keys, guess_key
+from .operators.keys import col, duplicate_keys
 from .operators.schema_diff import diff_schemas
 from .operators.segment_diff import SegmentDiff, differing, segment_signatures
 from .options import CompareOptions
@@ -324,57 +323,42 @@ def identical_self_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(df, df.select("*"), ["c_custkey"]).counts().select("both", "left_only", "right_only", "changed_rows")
 
 
-_FLOATS = "(VALUES (1, 0.0), (2, 1.5), (3, 10000000.0), (4, 123456789.5), (5, 0.0001), (6, 1000000.25), (7, -2.0))"
-
-
-@query(f"SELECT CAST(id AS BIGINT) AS id, CASE id WHEN 1 THEN '0' WHEN 2 THEN '1.5' WHEN 3 THEN '10000000' WHEN 4 THEN '123456789.5' WHEN 5 THEN '0.0001' WHEN 6 THEN '1000000.25' ELSE '-2' END AS text FROM {_FLOATS} t(id, x)")
-def float_text_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(f"SELECT cast(id AS bigint) id, cast(x AS double) x FROM {_FLOATS} t(id, x)")
-    return rows.select("id", text_of(F.col("x"), TypeInfo(Family.FLOAT, "double"), CompareOptions()).alias("text"))
-
-
-#: One pair of types for each verdict, and the status it is reported with.
+#: For each verdict two columns of orders that it is given for, and in SQL how their values differ (None: not compared).
 VERDICTS = {
-    "same": ("bigint", "bigint"),
-    "benign": ("decimal(18,4)", "decimal(18,2)"),
-    "widening": ("int", "bigint"),
-    "lossy": ("bigint", "double"),
-    "needs_tz": ("timestamp_ntz", "timestamp"),
-    "bool_alias": ("string", "boolean"),
-    "string_cast": ("string", "date"),
-    "incompatible": ("date", "boolean"),
-    "only_left": ("int", None),
-    "only_right": (None, "int"),
+    "same": ("o_custkey", "CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END", "l.c <> r.c"),
+    "benign": ("CAST(o_totalprice AS DECIMAL(18,4))", "CAST(CASE WHEN o_orderkey % 9 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS DECIMAL(18,2))", "l.c <> r.c"),
+    "widening": ("CAST(o_custkey AS INT)", "CASE WHEN o_orderkey % 11 = 0 THEN o_custkey + 1 ELSE o_custkey END", "l.c <> r.c"),
+    "lossy": ("o_custkey", "CAST(o_custkey AS DOUBLE) + CASE WHEN o_orderkey % 13 = 0 THEN 0.5 ELSE 0.0 END", "l.c <> r.c"),
+    "needs_tz": ("o_orderdate", "CAST(o_orderdate AS {zoned})", None),
+    "bool_alias": ("CASE WHEN o_orderkey % 17 = 0 THEN 'perhaps' WHEN o_orderkey % 2 = 0 THEN ' YES' ELSE 'f' END", "o_orderkey % 2 = 0", "l.c = 'perhaps'"),
+    "string_cast": ("CASE WHEN o_orderkey % 19 = 0 THEN 'some day' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)) END", "CAST(o_orderdate AS DATE)", "TRY_CAST(l.c AS DATE) IS DISTINCT FROM r.c"),
+    "incompatible": ("CAST(o_orderdate AS DATE)", "o_orderkey % 2 = 0", None),
+    "only_left": ("o_custkey", None, None),
+    "only_right": (None, "o_custkey", None),
 }
+#: DuckDB's names of types as Spark spells them (fixed values).
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "SMALLINT": "smallint", "DOUBLE": "double", "FLOAT": "float", "VARCHAR": "string", "BOOLEAN": "boolean", "DATE": "date", "TIMESTAMP": "timestamp_ntz", "TIMESTAMP WITH TIME ZONE": "timestamp", "DECIMAL(18,4)": "decimal(18,4)", "DECIMAL(18,2)": "decimal(18,2)"}
+SPELLED = "CASE {c} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in TYPES.items()) + " END"
 
 
-def _schema(status: str, kinds: tuple[str | None, str | None]) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sides = [[ColumnInfo("c", k)] if k else [] for k in kinds]
-        found, pairs = diff_schemas(*sides)
-        rows = [(c.name, c.status, c.left_type, c.right_type, c.name in pairs, found.identical) for c in found.columns]
-        return spark.createDataFrame(rows, "name string, status string, left_type string, right_type string, compared boolean, identical boolean")
-
-    run.__name__ = f"schema_diff_{status}"
-    left, right = (f"'{k}'" if k else "CAST(NULL AS VARCHAR)" for k in kinds)
-    is_compared = status not in ("needs_tz", "incompatible", "only_left", "only_right")
-    query(f"SELECT 'c' AS name, '{status}' AS status, {left} AS left_type, {right} AS right_type, {is_compared} AS compared, {status in ('same', 'benign')} AS identical")(run)
-
-
-for _status, _kinds in VERDICTS.items():
-    _schema(_status, _kinds)
-
+def _verdict(status: str, left: str | None, right: str | None, differs: str | None) -> None:
+    sides = [f"SELECT o_orderkey{f', {e} AS c' if e else ''} FROM {{orders}}" for e in (left, right)]
 
-def _guess(name: str, left: list[str], right: list[str], hints: tuple[list[str], list[str]], key: list[str]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.createDataFrame([(k,) for k in guess_key(left, right, *hints)], "key string")
+        a, b = (spark.sql(s.replace("{zoned}", "TIMESTAMP").replace("VARCHAR(20)", "STRING"), orders=read(spark, sf_dir, "orders")) for s in sides)
+        found, pairs = diff_schemas(columns_of(a), columns_of(b))
+        c = next(x for x in found.columns if x.name == "c")
+        counts = JoinDiff(a, b, with_ascii_known(pairs, a, b), ["o_orderkey"]).counts()
+        return counts.select(F.lit(c.status).alias("status"), F.lit(c.types[0]).cast("string").alias("left_type"), F.lit(c.types[1]).cast("string").alias("right_type"), F.lit("c" in pairs).alias("compared"), F.lit(found.agree).alias("agree"), "both", "changed_rows")
 
-    run.__name__ = f"guess_key_{name}"
-    query(" UNION ALL ".join(f"SELECT '{k}' AS key" for k in key))(run)
+    run.__name__ = f"verdict_{status}"
+    own = [s.replace("{zoned}", "TIMESTAMPTZ").format(orders="orders") for s in sides]
+    kinds = [f"(SELECT max({SPELLED.format(c='column_type')}) FROM (DESCRIBE {s}) WHERE column_name = 'c')" for s in own]
+    query(f"WITH l AS ({own[0]}), r AS ({own[1]}) SELECT '{status}' AS status, {kinds[0]} AS left_type, {kinds[1]} AS right_type, {differs is not None} AS compared, {status in ('same', 'benign')} AS agree, count(*) AS both, count(*) FILTER (WHERE {differs or 'false'}) AS changed_rows FROM l JOIN r ON l.o_orderkey = r.o_orderkey")(run)
 
 
-_guess("usual_name", ["v", "pk", "id"], ["id", "pk"], ([], []), ["id"])
-_guess("declared", ["id", "a", "b"], ["b", "a", "id"], (["a", "b"], ["b", "a"]), ["a", "b"])
+for _status, _sides in VERDICTS.items():
+    _verdict(_status, *_sides)
 
 
 def queries() -> dict[str, Query]:

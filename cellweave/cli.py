@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 
 from . import __version__
 from .errors import CellweaveError
-from .options import CompareOptions, RunOptions
+from .options import SECTIONS, CompareOptions, CsvOptions, Limits, RunOptions
 from .plans.engine import run_diff
 from .plans.report import to_json, to_markdown, to_text
 
@@ -46,6 +46,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--examples", type=int, default=20, help="examples per column")
     p.add_argument("--full", action="store_true", help="all examples")
     p.add_argument("--all-varchar", action="store_true", help="read CSV files without types")
+    p.add_argument("--csv-lines", action="store_true", help="no cell of a CSV file holds a line break, so large files are read in parts")
     p.add_argument("--leaf-rows", type=int, default=8192, help="rows of a segment that is no longer cut")
     for section in ("schema", "counts", "values", "stats"):
         p.add_argument(f"--no-{section}", action="store_true")
@@ -54,7 +55,10 @@ def parser() -> argparse.ArgumentParser:
 
 def run_options(a: argparse.Namespace) -> RunOptions:
     compare = CompareOptions(a.tolerance_abs, a.tolerance_rel, a.treat_empty_as_null, a.assume_tz, a.ts_precision, frozenset(_names(a.json_columns)))
-    return RunOptions(_names(a.key), a.key_less, a.strategy, compare, None if a.full else a.examples, not a.no_schema, not a.no_counts, not a.no_values, not a.no_stats, a.all_varchar, a.leaf_rows)
+    if a.key_less and a.strategy not in ("auto", "keyless"):
+        raise CellweaveError(f"strategy {a.strategy!r} needs a key; --key-less was given")
+    sections = frozenset(s for s in SECTIONS if not getattr(a, f"no_{s}"))
+    return RunOptions(compare, _names(a.key), "keyless" if a.key_less else a.strategy, sections, Limits(None if a.full else a.examples, a.leaf_rows), CsvOptions(a.all_varchar, not a.csv_lines))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -64,8 +68,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             raise CellweaveError(f"unknown format {args.format!r}")
         if args.output and args.format in ("rich", "text"):
             raise CellweaveError("only json and markdown are written to a file")
-        report = run_diff(args.left, args.right, run_options(args), spark)
-        text = FORMATS[args.format](report)
+        found = run_diff(args.left, args.right, run_options(args), spark)
+        text = FORMATS[args.format](found)
         if args.output:
             args.output.write_text(text if text.endswith("\n") else text + "\n", encoding="utf-8")
             print(f"report written to {args.output}")
@@ -78,7 +82,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"unexpected error: {e!r}", file=sys.stderr)
         traceback.print_exc()
         return ERROR
-    return DIFFERENT if report.has_differences else IDENTICAL
+    return IDENTICAL if found.agree else DIFFERENT
 
 
 if __name__ == "__main__":

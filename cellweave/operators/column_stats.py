@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import Family, TypeInfo
-from ..model import ColumnStats, StatsDrift
+from ..model import Profiles
 from .keys import col
 
 DISTINCT_TOGETHER = 4
@@ -62,13 +62,13 @@ def _text(c: Column, kind: TypeInfo) -> Column:
     return F.lower(F.hex(c)) if kind.family is Family.BINARY else c.cast("string")
 
 
-def stats_drift(left: DataFrame, right: DataFrame, left_types: dict[str, TypeInfo], right_types: dict[str, TypeInfo], exact: bool = True) -> StatsDrift:
+def profiles(left: DataFrame, right: DataFrame, left_types: dict[str, TypeInfo], right_types: dict[str, TypeInfo], exact: bool = True) -> Profiles:
     """Statistics of the columns that both sides have; they never decide whether the sides are identical."""
     shared = sorted(set(left_types) & set(right_types))
     if not shared:
-        return StatsDrift()
+        return {}
     sides = []
     for df, types in ((left, left_types), (right, right_types)):
         rows = stats_table(df, {n: types[n] for n in shared}, exact).collect()
-        sides.append({r["column"]: ColumnStats(r["min"], r["max"], None if r["avg"] is None else repr(r["avg"]), r["null_count"], r["distinct_count"]) for r in rows})
-    return StatsDrift({n: (sides[0][n], sides[1][n]) for n in shared})
+        sides.append({r["column"]: r.asDict() for r in rows})
+    return {n: (sides[0][n], sides[1][n]) for n in shared}

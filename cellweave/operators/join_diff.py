@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.canonical import not_ascii
 from ..functions.equality import Pair
 from ..functions.types import Family
-from ..model import CellExample, ColumnValueDiff, CountsDiff, ValueDiff
+from ..model import Cell, CellTally, RowTally
 from .keys import col, key_columns, shown_key
 
 
@@ -89,11 +89,10 @@ class JoinDiff:
         """(key): rows of one side alone."""
         return self.joined.where(F.col("in_r" if side == "left" else "in_l").isNull()).select(self._key().alias("key"))
 
-    def measure(self, examples_n: int) -> tuple[CountsDiff, ValueDiff]:
+    def measure(self, examples_n: int) -> tuple[RowTally, CellTally]:
         row = self.counts().first()
-        counts = CountsDiff(row["left_only"] + row["both"], row["right_only"] + row["both"], row["left_only"], row["right_only"], row["both"])
-        columns = {p.name: ColumnValueDiff(p.name, row[f"m{i}"]) for i, p in enumerate(self.compared) if row[f"m{i}"]}
-        if columns and examples_n > 0:
+        cells = CellTally(row["changed_rows"], {n: c for n, c in sorted((p.name, row[f"m{i}"]) for i, p in enumerate(self.compared)) if c})
+        if cells.differing and examples_n > 0:
             for e in self.examples(examples_n).orderBy("column", "key").toLocalIterator():
-                columns[e["column"]].examples.append(CellExample(e["key"], e["left"], e["right"]))
-        return counts, ValueDiff(row["changed_rows"], [columns[n] for n in sorted(columns)])
+                cells.samples.setdefault(e["column"], []).append(Cell(e["key"], e["left"], e["right"]))
+        return RowTally(row["left_only"], row["right_only"], row["both"]), cells

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import fields_text
 from ..functions.equality import Pair
-from ..model import CountsDiff
+from ..model import RowTally
 from .keys import col
 
 
@@ -42,6 +42,6 @@ def keyless_counts(left: DataFrame, right: DataFrame, pairs: dict[str, Pair]) ->
     )
 
 
-def keyless_diff(left: DataFrame, right: DataFrame, pairs: dict[str, Pair]) -> CountsDiff:
+def keyless_diff(left: DataFrame, right: DataFrame, pairs: dict[str, Pair]) -> RowTally:
     row = keyless_counts(left, right, pairs).first()
-    return CountsDiff(row["left_total"], row["right_total"], row["left_only"], row["right_only"], row["both"])
+    return RowTally(row["left_only"], row["right_only"], row["both"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..errors import KeyNotUnique, NoKeyFound
@@ -63,10 +63,14 @@ def duplicate_keys(df: DataFrame, keys: list[Column]) -> DataFrame:
     return df.groupBy(*named).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def check_unique(df: DataFrame, pairs: list[Pair], side: str) -> None:
-    """Raises KeyNotUnique with up to three of the most frequent keys."""
-    keys = key_columns(pairs, side)
-    worst = duplicate_keys(df, keys).orderBy(F.desc("n"), *(f"k{i}" for i in range(len(keys)))).limit(3).collect()
+def worst_keys(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """The three keys that most rows have, of those that several have."""
+    return duplicate_keys(df, keys).orderBy(F.desc("n"), *(f"k{i}" for i in range(len(keys)))).limit(3)
+
+
+def check_unique(df: DataFrame, pairs: list[Pair], side: str, found: list[Row] | None = None) -> None:
+    """Raises KeyNotUnique with up to three of the most frequent keys; `found`: these, where they are known."""
+    worst = worst_keys(df, key_columns(pairs, side)).collect() if found is None else found
     if worst:
         shown = "; ".join(f"({', '.join(repr(v) for v in r[:-1])}) x{r['n']}" for r in worst)
         raise KeyNotUnique(f"key {[p.name for p in pairs]} is not unique on the {side} side: {shown}")

@@ -43,29 +43,43 @@ class CompareOptions:
         return self.tolerance_abs > 0 or self.tolerance_rel > 0
 
 
+SECTIONS = frozenset({"schema", "counts", "values", "stats"})
+FULL_EXAMPLES = 200_000
+
+
 @dataclass(frozen=True)
-class RunOptions:
-    """What is compared and reported.  `examples_n` None: as many as FULL_EXAMPLES."""
+class Limits:
+    """Examples per column (None: FULL_EXAMPLES), and rows of a segment that is no longer cut."""
 
-    key: tuple[str, ...] = ()
-    key_less: bool = False
-    strategy: str = "auto"
-    compare: CompareOptions = field(default_factory=CompareOptions)
-    examples_n: int | None = 20
-    include_schema: bool = True
-    include_counts: bool = True
-    include_values: bool = True
-    include_stats: bool = True
-    all_varchar: bool = False
+    examples: int | None = 20
     leaf_rows: int = 8192
 
     def __post_init__(self) -> None:
-        if self.strategy not in STRATEGIES:
-            raise CellweaveError(f"unknown strategy {self.strategy!r}; one of {', '.join(STRATEGIES)}")
-        if self.key_less and self.strategy not in ("auto", "keyless"):
-            raise CellweaveError(f"strategy {self.strategy!r} needs a key; key_less was asked for")
         if self.leaf_rows < 1:
             raise CellweaveError("leaf_rows must be positive")
 
 
-FULL_EXAMPLES = 200_000
+@dataclass(frozen=True)
+class CsvOptions:
+    """`as_text`: no types.  `line_breaks`: cells may hold some, so a file is one task; else files are split."""
+
+    as_text: bool = False
+    line_breaks: bool = True
+
+
+@dataclass(frozen=True)
+class RunOptions:
+    """How a comparison runs: by which key and strategy, and which sections it has."""
+
+    compare: CompareOptions = field(default_factory=CompareOptions)
+    key: tuple[str, ...] = ()
+    strategy: str = "auto"
+    sections: frozenset[str] = SECTIONS
+    limits: Limits = field(default_factory=Limits)
+    csv: CsvOptions = field(default_factory=CsvOptions)
+
+    def __post_init__(self) -> None:
+        if self.strategy not in STRATEGIES:
+            raise CellweaveError(f"unknown strategy {self.strategy!r}; one of {', '.join(STRATEGIES)}")
+        if unknown := self.sections - SECTIONS:
+            raise CellweaveError(f"unknown sections: {', '.join(sorted(unknown))}")

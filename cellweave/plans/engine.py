@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.equality import Pair
 from ..functions.types import Family, Verdict, parse_type
-from ..model import CountsDiff, DiffMeta, DiffReport, SchemaDiff
-from ..operators.column_stats import stats_drift
+from ..model import Findings, Schemas
+from ..operators.column_stats import profiles
 from ..operators.join_diff import JoinDiff, with_ascii_known
 from ..operators.keyless_diff import keyless_diff
 from ..operators.keys import check_unique, col, guess_key, require_columns
@@ -25,8 +25,6 @@ Source = str | DataFrame | BoundSource
 
 def choose_strategy(left: BoundSource, right: BoundSource, options: RunOptions) -> str:
     """Segments where rows would have to leave a database that the other side is not in; a join otherwise."""
-    if options.key_less:
-        return "keyless"
     if options.strategy != "auto":
         return options.strategy
     places = [s.postgres.instance if s.postgres else None for s in (left, right)]
@@ -41,69 +39,68 @@ def resolve_key(left: BoundSource, right: BoundSource, options: RunOptions) -> l
     return key
 
 
-def run_diff(left: Source, right: Source, options: RunOptions | None = None, spark: SparkSession | None = None) -> DiffReport:
+def run_diff(left: Source, right: Source, options: RunOptions | None = None, spark: SparkSession | None = None) -> Findings:
     """Compares two sources and reports.  Raises CellweaveError where no comparison is possible."""
     options = options or RunOptions()
     started = time.monotonic()
     spark = spark or next((s.sparkSession for s in (left, right) if isinstance(s, DataFrame)), None) or SparkSession.builder.getOrCreate()
     with scoped_conf(spark):
-        a, b = (bind_source(spark, s, options.all_varchar) for s in (left, right))
+        a, b = (bind_source(spark, s, options.csv) for s in (left, right))
         strategy = choose_strategy(a, b, options)
-        schema, pairs = diff_schemas(a.columns, b.columns, options.compare)
-        report = _keyless(a, b, schema, pairs) if strategy == "keyless" else _keyed(a, b, schema, pairs, strategy, options)
-        if options.include_stats and strategy != "keyless":
-            report.stats = stats_drift(a.df, b.df, *({c.name: parse_type(c) for c in s.columns} for s in (a, b)))
-    report.meta.assumptions += schema.assumptions
-    report.meta.warnings += schema.warnings
-    if not options.include_schema:
-        report.schema = None
-    if not options.include_counts:
-        report.counts = None
-    if not options.include_values:
-        report.values = None
-    report.meta.duration_s = time.monotonic() - started
-    return report
-
-
-def _keyless(a: BoundSource, b: BoundSource, schema: SchemaDiff, pairs: dict[str, Pair]) -> DiffReport:
+        schemas, pairs = diff_schemas(a.columns, b.columns, options.compare)
+        found = _keyless(a, b, schemas, pairs) if strategy == "keyless" else _keyed(a, b, schemas, pairs, strategy, options)
+        if "stats" in options.sections and strategy != "keyless":
+            found.profiles = profiles(a.df, b.df, *({c.name: parse_type(c) for c in s.columns} for s in (a, b)))
+    found.notes.assumed.extend(schemas.notes.assumed)
+    found.notes.beware.extend(schemas.notes.beware)
+    found.schemas = schemas if "schema" in options.sections else None
+    found.rows = found.rows if "counts" in options.sections else None
+    found.cells = found.cells if "values" in options.sections else None
+    found.seconds = time.monotonic() - started
+    return found
+
+
+def _keyless(a: BoundSource, b: BoundSource, schemas: Schemas, pairs: dict[str, Pair]) -> Findings:
     pairs = with_ascii_known(pairs, a.df, b.df)
-    meta = DiffMeta("keyless", [], warnings=["compared without a key: rows are matched as wholes, cells are not told apart"])
-    left_out = [c.name for c in schema.columns if c.name not in pairs]
+    found = Findings("keyless", [], rows=keyless_diff(a.df, b.df, pairs))
+    found.notes.beware.append("compared without a key: rows are matched as wholes, cells are not told apart")
+    left_out = [c.name for c in schemas.columns if c.name not in pairs]
     if left_out:
-        meta.warnings.append(f"columns left out of the rows: {', '.join(left_out)}")
-    return DiffReport(meta, schema, keyless_diff(a.df, b.df, pairs))
+        found.notes.beware.append(f"columns left out of the rows: {', '.join(left_out)}")
+    return found
 
 
-def _key_pairs(pairs: dict[str, Pair], key: list[str], schema: SchemaDiff) -> None:
+def _key_pairs(pairs: dict[str, Pair], key: list[str], schemas: Schemas) -> None:
     for k in key:
         if k not in pairs:
-            status = next(c for c in schema.columns if c.name == k)
+            status = next(c for c in schemas.columns if c.name == k)
             raise KeyError(f"key column {k!r} cannot be compared: {status.note}")
 
 
-def _keyed(a: BoundSource, b: BoundSource, schema: SchemaDiff, pairs: dict[str, Pair], strategy: str, options: RunOptions) -> DiffReport:
+def _keyed(a: BoundSource, b: BoundSource, schemas: Schemas, pairs: dict[str, Pair], strategy: str, options: RunOptions) -> Findings:
     key = resolve_key(a, b, options)
-    _key_pairs(pairs, key, schema)
-    pairs = with_ascii_known(pairs, a.df, b.df)
+    _key_pairs(pairs, key, schemas)
+    remote = tuple(s.remote if strategy == "hash" and s.remote and s.remote.takes(pairs) else None for s in (a, b))
+    if not any(remote):
+        pairs = with_ascii_known(pairs, a.df, b.df)
     # keys are compared as they are, whatever the tolerance for values
     exact = {k: replace(pairs[k], options=replace(options.compare, tolerance_abs=0.0, tolerance_rel=0.0)) for k in key}
     pairs = pairs | exact
-    for s, side in ((a, "left"), (b, "right")):
-        check_unique(s.df, [pairs[k] for k in key], side)
-    n = FULL_EXAMPLES if options.examples_n is None else options.examples_n
-    n = n if options.include_values else 0
-    meta = DiffMeta(strategy, key)
+    for s, there, side in zip((a, b), remote, ("left", "right"), strict=True):
+        check_unique(s.df, [pairs[k] for k in key], side, there.duplicates([pairs[k] for k in key]) if there else None)
+    n = FULL_EXAMPLES if options.limits.examples is None else options.limits.examples
+    n = n if "values" in options.sections else 0
+    found = Findings(strategy, key)
     if strategy == "hash":
-        segments = SegmentDiff(a.df, b.df, pairs, key, options.leaf_rows)
-        counts, values = segments.join().measure(n)
-        left_total, right_total = segments.totals
-        counts = CountsDiff(left_total, right_total, counts.left_only, counts.right_only, left_total - counts.left_only)
-        meta.execution_path = {"left": a.path, "right": b.path}
-        segments.leaves.unpersist()
+        segments = SegmentDiff(a.df, b.df, pairs, key, options.limits.leaf_rows, remote)
+        rows, found.cells = segments.join().measure(n)
+        found.rows = rows._replace(matched=segments.totals[0] - rows.left)
+        found.ran_in = {side: "pushdown" if there else "local-scan" for side, there in zip(("left", "right"), remote, strict=True)}
+        segments.close()
     else:
-        counts, values = JoinDiff(a.df, b.df, pairs, key).measure(n)
-    meta.warnings += _cast_failures(a.df, b.df, pairs)
-    return DiffReport(meta, schema, counts, values)
+        found.rows, found.cells = JoinDiff(a.df, b.df, pairs, key).measure(n)
+    found.notes.beware.extend(_cast_failures(a.df, b.df, pairs))
+    return found
 
 
 def _cast_failures(left: DataFrame, right: DataFrame, pairs: dict[str, Pair]) -> list[str]:

@@ -37,9 +37,9 @@ class PostgresUrl:
         return f"jdbc:postgresql://{self.host}:{self.port}/{self.database}"
 
     @property
-    def instance(self) -> tuple[str, int, str]:
-        """Two tables of one instance can be joined there."""
-        return self.host, self.port, self.database
+    def instance(self) -> tuple[str, int]:
+        """Rows of two tables of one server leave one place only."""
+        return self.host, self.port
 
     @property
     def relation(self) -> str:

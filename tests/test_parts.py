@@ -68,10 +68,10 @@ def test_schema_diff():
     right = [ColumnInfo("a", "bigint"), ColumnInfo("id", "bigint"), ColumnInfo("b", "string"), ColumnInfo("t", "timestamp")]
     found, pairs = diff_schemas(left, right)
     assert [(c.name, c.status) for c in found.columns] == [("id", "same"), ("a", "widening"), ("B", "only_left"), ("t", "needs_tz"), ("b", "only_right")]
-    assert found.order_changed and found.has_blocking and not found.identical
-    assert "NOT NULL vs nullable" in found.columns[0].note and list(pairs) == ["id", "a"] and found.warnings
+    assert found.reordered and found.having("only_left", "only_right") and not found.agree
+    assert "NOT NULL vs nullable" in found.columns[0].note and list(pairs) == ["id", "a"] and found.notes.beware
     found, pairs = diff_schemas(left, right, CompareOptions(assume_tz="UTC"))
-    assert "t" in pairs and found.assumptions and not found.warnings
+    assert "t" in pairs and found.notes.assumed and not found.notes.beware
 
 
 @pytest.mark.parametrize(
@@ -138,14 +138,15 @@ def test_stats(spark):
         assert rows["s"] == ("a", "b", None, 1, 2)
 
 
-def test_segments_are_cut_until_small(spark):
+def test_segments_are_small(spark):
     left = spark.range(5000).select(F.col("id"), (F.col("id") * 2).alias("v"))
     right = left.withColumn("v", F.when(F.col("id") == 77, -1).otherwise(F.col("v")))
     _, pairs = diff_schemas(columns_of(left), columns_of(right))
     s = SegmentDiff(left, right, pairs, ["id"], leaf_rows=4)
-    assert s.levels == [2, 3] and s.leaves.count() == 1 and s.totals == (5000, 5000)
+    assert s.digits == 3 and s.leaves.count() == 1 and s.totals == (5000, 5000)
     assert max(x.count() for x in s.slices()) <= 16
     assert s.join().counts().first()["changed_rows"] == 1
+    s.close()
 
 
 @pytest.mark.parametrize("spec", ["a.xlsx", "duckdb://x", "postgres://h/db", "postgres:///db/t", "table:", "plain"])
@@ -207,6 +208,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["diff", a, "x.foo"], spark) == 2
     assert main(["diff", a, b, "-f", "pdf"], spark) == 2
     assert main(["diff", a, b, "--strategy", "sideways"], spark) == 2
+    assert main(["diff", a, b, "--strategy", "join", "--key-less"], spark) == 2
     assert "error" in capsys.readouterr().err
 
 
@@ -221,7 +223,7 @@ def test_no_network(spark, monkeypatch, tmp_path):
 
     monkeypatch.setattr(socket.socket, "connect", local_only)
     (tmp_path / "a.csv").write_text("id,v\n1,x\n")
-    assert run_diff(str(tmp_path / "a.csv"), str(tmp_path / "a.csv"), spark=spark).identical
+    assert run_diff(str(tmp_path / "a.csv"), str(tmp_path / "a.csv"), spark=spark).agree
 
 
 def test_entry_has_an_oracle_for_every_query(spark):
