@@ -45,7 +45,8 @@ def float_text(c: Column, single: bool = False) -> Column:
     """
     own = c.cast("string")
     size = F.abs(c.cast("double"))
-    plain = trimmed(own.try_cast("decimal(38,20)").cast("string"))
+    # 17 digits, after up to 8 zeros in small numbers
+    plain = trimmed(F.when(size < 1e7, own.try_cast("decimal(38,30)").cast("string")).otherwise(own.try_cast("decimal(38,20)").cast("string")))
     whole = c.cast("double").try_cast("decimal(20,0)").cast("string")
     scientific = F.regexp_replace(F.lower(own), r"\.0(?=e|$)", "")
     return (
