@@ -25,9 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import cut
+from .support import cut, width
 
-SOURCES = 100_000  # rows of the table of sources that are broadcast at most; more are joined by a shuffle
+SOURCES = 100_000  # rows of the table of sources that are broadcast, or summed in one window, at most
 NEW = ("size", "source_size", "target", "taken")
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,19 +40,39 @@ def _sized(docs: DataFrame, seed: int) -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(_WORD)).cast("long"), F.lit(0).cast("long"))).withColumn("_key", hash_key(seed))
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds the sums over all rows that stand before a row.
+
+    Up to SOURCES rows that is one window; of more, rows are dealt out by ranges of
+    the order, and the totals of the ranges before are added to sums within one.
+    """
+    before = lambda w: w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    if rows.count() <= SOURCES:
+        return rows.withColumns({n: F.coalesce(F.sum(c).over(before(Window)), F.lit(0)) for n, c in sums.items()})
+    rows = cut(rows.repartitionByRange(width(rows.sparkSession), *order).withColumn("_range", F.spark_partition_id()))
+    held = rows.groupBy("_range").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    ranges = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("_range", *(F.coalesce(F.sum(f"_{n}").over(ranges), F.lit(0)).alias(f"_{n}") for n in sums))
+    out = rows.join(F.broadcast(held), "_range")
+    return out.withColumns({n: F.coalesce(F.sum(c).over(before(Window.partitionBy("_range"))), F.lit(0)) + F.col(f"_{n}") for n, c in sums.items()}).drop("_range", *(f"_{n}" for n in sums))
+
+
 def targets(sources: DataFrame, cycle: int = 3, most: int = 3) -> DataFrame:
     """Adds weight and target to (source, source_size, ...): weights 1 to `cycle`, repeating in the order of names."""
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy((F.col("source_size") * most / F.col("weight")).asc(), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    out = sources.withColumn("weight", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % cycle + 1)
-    out = out.withColumns({"room": F.sum("source_size").over(everything) - F.coalesce(F.sum(F.col("source_size") * most).over(before), F.lit(0)), "heavy": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))})
-    full = F.col("source_size") * most * F.col("heavy") < F.col("weight") * F.col("room")
-    out = out.withColumn("full", full)
-    # the first source that is not full sets the level for all that follow
-    level = Window.orderBy(F.col("full").desc(), (F.col("source_size") * most / F.col("weight")).asc(), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = out.withColumns({n: F.first(F.when(~F.col("full"), F.col(n)), ignorenulls=True).over(level) for n in ("room", "heavy")})
-    share = (F.col("weight") * F.col("room")).cast("double") / F.col("heavy").cast("double")
-    return out.withColumn("target", F.when(F.col("full"), (F.col("source_size") * most).cast("double")).otherwise(share)).drop("room", "heavy", "full")
+    by_name = F.col("source").asc_nulls_last()
+    out = running(sources, [by_name], {"rank": F.lit(1)}).withColumn("weight", F.col("rank") % cycle + 1).drop("rank")
+    out = out.withColumn("level", F.col("source_size") * most / F.col("weight"))
+    out = cut(running(out, [F.col("level").asc(), by_name], {"capacity": F.col("source_size") * most, "heavier": F.col("weight")}))
+    everything = out.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    if everything["weight"] is None:
+        return out.withColumn("target", F.lit(0.0)).drop("level", "capacity", "heavier")
+    out = out.withColumns({"room": F.lit(everything["size"]) - F.col("capacity"), "heavy": F.lit(everything["weight"]) - F.col("heavier")})
+    out = out.withColumn("full", F.col("source_size") * most * F.col("heavy") < F.col("weight") * F.col("room"))
+    # the first source that is not full sets the level for all that follow; there always is one
+    sets = out.where("not full").agg(F.min(F.struct("level", F.col("source").isNull(), "source", "room", "heavy")).alias("s")).first()["s"]
+    share = (F.col("weight") * F.lit(sets["room"])).cast("double") / F.lit(sets["heavy"]).cast("double")
+    target = F.when(F.col("full"), (F.col("source_size") * most).cast("double")).otherwise(share)
+    return out.withColumn("target", target).drop("level", "capacity", "heavier", "room", "heavy", "full")
 
 
 def _same_source(a: DataFrame, b: DataFrame) -> Column:

@@ -27,7 +27,9 @@ def _mixed(spark, rows):
     return got
 
 
-def test_mix_agrees_with_sql(spark):
+@pytest.mark.parametrize("few", [100_000, 2])
+def test_mix_agrees_with_sql(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "SOURCES", few)
     rng = random.Random(4)
     rows = [(i, "w " * rng.randrange(30), rng.choice(["a", "b", "Z", "é", None, "hot", "hot", "hot", "hot"])) for i in range(400)] + [(None, "x y z", "b"), (401, None, "a"), (402, " \n\t", "empty")]
     got = _mixed(spark, rows)
@@ -51,6 +53,15 @@ def test_mix_fills_small_sources(spark):
     assert got["target"].to_dict() == {"a": 780.0, "b": 30.0, "c": 300.0} and got["taken"].to_dict() == {"a": 780, "b": 30, "c": 300}
 
 
+def test_mix_of_long_texts(spark):
+    """A text of a megabyte is counted whole, and is cut where its source's budget ends."""
+    got = _mixed(spark, [(1, "word " * 200_000, "a"), (2, "x y", "b"), (3, "z", "b")])
+    sizes = dict(zip(got["doc_id"], got["size"], strict=True))
+    assert sizes == {1: 200_000, 2: 2, 3: 1} and got["taken"].max() <= 600_000
+    by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (abs(by["taken"] - by["target"]) <= 0.5).all()
+
+
 def test_mix_edges(spark):
     assert _mixed(spark, []).empty
     same = _mixed(spark, [(7, "a b c", "s")] * 5)
@@ -190,6 +201,15 @@ def test_chat_parts_go_on(spark, monkeypatch):
     assert cut == whole and _chat(spark, []).count() == 0
 
 
+def test_chat_columns_with_clashing_names(spark):
+    """Columns named as those that are added, and one very long text, change nothing."""
+    rows = [(1, 0, "user", "u", "x"), (1, 1, "assistant", HARD * 5000, "x"), (2, 0, "assistant", None, "x")]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, extra string")
+    clash = plain.withColumns({n: F.lit("clash") for n in ("part", "formatted", "spans", "n_turns")})
+    whole = {tuple(r) for r in chat_format.read_back(chat_format.format_chat(plain)).collect()}
+    assert {tuple(r) for r in chat_format.read_back(chat_format.format_chat(clash)).collect()} == whole and len(whole) == 2
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("<|\\ aé\n", max_size=12), min_size=1, max_size=5), st.text("\\n<|\na", max_size=6))
 def test_chat_round_trip(texts, role):
