@@ -10,7 +10,7 @@ from cellweave.llm import language_id, mixing
 from cellweave.llm.decontaminate import without_contaminated
 from cellweave.llm.ngram_join import first_of_each
 from cellweave.llm.pii import key_of, pseudonymise
-from cellweave.llm.support import shared_folder, table
+from cellweave.llm.support import remove, shared_folder, table
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

@@ -1,6 +1,7 @@
 """The corpus pipeline and the registered queries."""
 
 import collections
+import zlib
 
 import duckdb
 import pytest
@@ -8,7 +9,7 @@ import pytest
 import corpus_pipeline
 from cellweave.llm import chat_format, decontaminate, language_id, mixing, ngram_join, pii, queries
 
-SMALL = "/root/testdata/sf0.001"
+SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 def test_stages():
@@ -28,6 +29,25 @@ def test_queries_agree_with_sql(spark, name):
     assert collections.Counter(got[want.columns].itertuples(index=False, name=None)) == collections.Counter(want.itertuples(index=False, name=None))
 
 
+@pytest.mark.parametrize(("name", "label", "caught", "kept"), [("op1_toxicity", "toxic", 0.6, 0.98), ("op5_neighbour_quality", "quality", 0.95, 0.95)])
+def test_held_out_labels(spark, name, label, caught, kept):
+    """Labelled documents that nothing was learned from: shares of either class that are told right."""
+    got = queries.queries()[name](spark, LARGER)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet").select("doc_id", label).where(f"{label} is not null")
+    rows = got.where("held_out").join(labels, "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % {"toxic": 5, "quality": 3}[label] == {"toxic": 0, "quality": 1}[label]) for r in rows)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+    for y, least in ((1, caught), (0, kept)):
+        of = [r["predicted"] == y for r in rows if r[label] == y]
+        assert of and sum(of) >= least * len(of), (y, sum(of), len(of))
+
+
+def test_held_out_languages(spark):
+    rows = queries.op6_language_id(spark, LARGER).where("held_out").join(spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 100 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
+
+
 def test_pipeline_agrees_with_a_plain_one(spark):
     got = collections.Counter((r["doc_id"], r["text"], r["size"], r["taken"]) for r in corpus_pipeline.run(spark, SMALL).collect())
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
