@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -105,7 +106,7 @@ def test_surrogates(replaced):
         shape = lambda s: re.sub(r"[0-9]+" if i == 4 else r"[0-9]", "0", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", s)))  # noqa: B023, E731
         assert shape(replaced[i]["text"]) == shape(TEXTS[i]) or i == 6
         assert replaced[i]["n_chars"] == len(replaced[i]["text"])
-        for e in re.findall(pii.FIND.replace("(?i:", "(?:").replace(r"\p{Lu}", "[A-ZА-Я]").replace(r"\p{L}", r"\w"), TEXTS[i]):
+        for e in regex.findall(pii.FIND, TEXTS[i]):
             assert e not in replaced[i]["text"]
     mails = re.findall(r"\S+@\S+com", replaced[1]["text"])
     assert mails[0].lower() == mails[1] != mails[2]
