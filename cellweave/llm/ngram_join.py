@@ -50,6 +50,7 @@ _SEEN = 1 << 18  # sets remembered by a task to skip copies
 _SENT = 64 << 20  # bytes of a table that is broadcast, at most
 RANKED = 200_000  # shingles with a rank by count
 ELEMENTS = 1_000_000  # shingles of a block
+WORK = 32  # shingles that a task for pairs looks up, for each that it holds
 
 
 def shingle_sets(texts: pa.Array, k: int, how: T.Splitter = T.SPACED_LOWER) -> Iterator[tuple[int, np.ndarray]]:
@@ -86,25 +87,26 @@ def _fresh(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarr
 
 def _count_often(k: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+        held, size = np.empty(0, np.uint64), 0
 
         def often() -> pa.RecordBatch:
-            part = np.concatenate(held)
-            held.clear()
+            part = held[:size]
             part.sort()
-            h = np.unique(part[least - 1 :][part[least - 1 :] == part[: max(0, len(part) - least + 1)]])
+            h = np.unique(part[least - 1 :][part[least - 1 :] == part[: max(0, size - least + 1)]])
             c = np.searchsorted(part, h, "right") - np.searchsorted(part, h)
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
 
         for s in _fresh(batches, k):
-            if held and size + len(s) > _COUNTED:
+            if size and size + len(s) > _COUNTED:
                 yield often()
                 size = 0
-            held.append(s)
+            if size + len(s) > len(held):
+                held = np.concatenate([held[:size], np.empty(max(len(s), min(_COUNTED - size, size + _CHUNK)), np.uint64)])
+            held[size : size + len(s)] = s
             size += len(s)
-        if held:
+        if size:
             yield often()
+        held = np.empty(0, np.uint64)
         T.give_back()
 
     return run
@@ -150,7 +152,7 @@ def _index(k: int, percent: int, buckets: int, ranked: np.ndarray):
             at = np.argsort(part, kind="stable")
             part, what = part[at], what[at]
             b, first = np.unique(part, return_index=True)
-            blobs = [x.tobytes() for x in np.split(what, first[1:])]
+            blobs = [by_column(x) for x in np.split(what, first[1:])]
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), pa.array(b.astype(np.int32)), pa.array(blobs, pa.binary())], ["kind", "bucket", "blob"])
 
         def postings() -> pa.RecordBatch:
@@ -196,10 +198,24 @@ def _index(k: int, percent: int, buckets: int, ranked: np.ndarray):
     return run
 
 
+def by_column(rows: np.ndarray) -> bytes:
+    """The fields one after the other: a group's postings repeat most of theirs, which the shuffle packs."""
+    return b"".join(np.ascontiguousarray(rows[f]).tobytes() for f in rows.dtype.names)
+
+
+def from_columns(blob: memoryview, kind: np.dtype) -> np.ndarray:
+    n, at = len(blob) // kind.itemsize, 0
+    out = np.empty(n, kind)
+    for f in kind.names:
+        out[f] = np.frombuffer(blob, kind[f], n, at)
+        at += n * kind[f].itemsize
+    return out
+
+
 def _unpack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blob in T.column(batch, "blob"):
-            x = np.frombuffer(blob.as_buffer(), _DOC)
+            x = from_columns(blob.as_buffer(), _DOC)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x["d"].copy(), mask=x["null"].astype(bool)), pa.array(x["n"].astype(np.int64)), pa.array(x["g"].copy().view(np.int64)), pa.array(x["s"].copy().view(np.int64)), pa.array(x["h"].copy())], ["doc_id", "n", "g", "s", "text_hash"]
             )
@@ -232,7 +248,7 @@ def _meet(percent: int, hot: int):
     """Pairs of groups that may link, or chains where there would be too many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = np.concatenate([np.zeros(0, _POSTING), *(np.frombuffer(b.as_buffer(), _POSTING) for batch in batches for b in T.column(batch, "blob"))])
+        x = np.concatenate([np.zeros(0, _POSTING), *(from_columns(b.as_buffer(), _POSTING) for batch in batches for b in T.column(batch, "blob"))])
         by = np.argsort(x["t"])
         token = x["t"][by]
         more = np.zeros(len(by), bool)
@@ -469,29 +485,30 @@ def _crowds(met: DataFrame, members: DataFrame, hot: int) -> tuple[DataFrame, Da
 
 
 def _tasks(pairs: DataFrame) -> DataFrame:
-    """Adds the task that verifies a pair, as the columns of a piece.
+    """(s1, s2) with the task that verifies the pair, as the columns of a piece.
 
-    A pair goes by the smallest set next to either of its sets, so pairs that
-    share sets mostly meet.  What one such set draws to itself is cut by a hash
-    if it is heavy, and thrown together with others if it is light.
+    A pair goes by the smallest set near either of its sets, so pairs that share
+    sets mostly meet.  What one such set draws to itself is a task, or several of
+    them if it is light, or, if it is heavy, cut into squares by hashes of both
+    sets, so a set goes to few of them.
     """
-    ends = pairs.select(F.col("s1").alias("s"), F.col("s2").alias("o")).unionByName(pairs.select(F.col("s2").alias("s"), F.col("s1").alias("o")))
-    near = ends.groupBy("s").agg(F.min("o").alias("o")).select("s", F.least("s", "o").alias("near"))
+    ends = cut(pairs.select(F.col("s1").alias("s"), F.col("s2").alias("o")).unionByName(pairs.select(F.col("s2").alias("s"), F.col("s1").alias("o"))))
+    near = cut(ends.groupBy("s").agg(F.min("o").alias("o")).select("s", F.least("s", "o").alias("near")))
+    near = ends.join(near.withColumnRenamed("s", "o"), "o").groupBy("s").agg(F.min("near").alias("near")).select("s", F.least("s", "near").alias("near"))
     for i in (1, 2):
         pairs = pairs.join(near.select(F.col("s").alias(f"s{i}"), F.col("near").alias(f"near{i}")), f"s{i}")
-    pairs = cut(pairs.select("s1", "s2", F.least("near1", "near2").alias("near"), (F.col("n1") + F.col("n2")).alias("w")))
-    weights = cut(pairs.groupBy("near").agg(F.sum("w").alias("of_near")))
-    bins = 1 + (weights.where(f"of_near <= {ELEMENTS}").agg(F.sum("of_near")).first()[0] or 0) // ELEMENTS
-    pairs = pairs.join(weights, "near")
-    light = F.col("of_near") <= ELEMENTS
-    zero = F.lit(-1)
-    return cut(
-        pairs.select(
-            "s1", "s2", F.when(light, F.pmod(F.xxhash64("near"), F.lit(bins))).otherwise(F.col("near")).alias("cluster"),
-            F.when(light, F.lit(-1)).otherwise(F.pmod(F.xxhash64("s1", "s2"), F.ceil(F.col("of_near") / ELEMENTS))).cast("int").alias("low"),
-            zero.alias("x"), zero.alias("high"), zero.alias("y"), F.lit(0).alias("side"),
-        )
-    )
+    pairs = cut(pairs.select("s1", "n1", "s2", "n2", F.least("near1", "near2").alias("near")))
+    sets = pairs.select("near", F.col("s1").alias("s"), F.col("n1").alias("n")).unionByName(pairs.select("near", F.col("s2").alias("s"), F.col("n2").alias("n"))).distinct()
+    weights = pairs.groupBy("near").agg(F.sum(F.col("n1") + F.col("n2")).alias("work")).join(sets.groupBy("near").agg(F.sum("n").alias("held")), "near")
+    # a square holds the sets of two of its sides; a task looks up WORK shingles for each that it holds
+    side = F.greatest(F.when(F.col("held") > ELEMENTS, F.ceil(2 * F.col("held") / ELEMENTS)).otherwise(1), F.ceil(F.sqrt(F.col("work") / (WORK * ELEMENTS))))
+    weights = cut(weights.select("near", "held", side.cast("int").alias("side")))
+    bins = 1 + (weights.where("side = 1").agg(F.sum("held")).first()[0] or 0) // ELEMENTS
+    pairs = pairs.join(weights.select("near", "side"), "near")
+    light, none = F.col("side") == 1, F.lit(-1)
+    at = [F.when(light, none).otherwise(F.pmod(F.xxhash64(x), F.col("side"))).cast("int") for x in ("s1", "s2")]
+    cluster = F.when(light, F.pmod(F.xxhash64("near"), F.lit(bins))).otherwise(F.col("near"))
+    return cut(pairs.select("s1", "s2", cluster.alias("cluster"), at[0].alias("low"), at[1].alias("x"), none.alias("high"), none.alias("y"), F.lit(0).alias("side")))
 
 
 def first_of_each(docs: DataFrame, small: int = 1_000_000, **how) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from cellweave.llm import decontaminate as dc
@@ -78,12 +79,12 @@ def plain_links(texts, k=5, percent=80):
     return [(len(s), least[i], len(links[i])) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("hot, block", [(64, 1024), (3, 4), (1, 2)])
+@pytest.mark.parametrize("hot, block", [(64, 1024), (1, 2)])
 def test_ngram_join(spark, monkeypatch, hot, block):
     if block < 10:
         monkeypatch.setattr(ngram_join, "ELEMENTS", 300)
     texts = corpus(150, seed=hot)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.ngram_join(frame(spark, texts), hot=hot, block=block, small=0 if hot == 3 else 10**6).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.ngram_join(frame(spark, texts), hot=hot, block=block, small=0 if hot == 1 else 10**6).collect()}
     assert got == dict(enumerate(plain_links(texts)))
 
 
@@ -107,6 +108,64 @@ def test_ngram_join_ids_and_first(spark):
     assert ngram_join.ngram_join(docs.limit(0)).count() == 0 and ngram_join.first_of_each(docs.limit(0)).count() == 0
 
 
+def test_ngram_join_null_ids_stay_linear(spark, monkeypatch):
+    """Rows without an id are told apart by their texts: every text brings its own set only, equal rows one."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words, f"x{i % 500}"]) for i in range(2000)] + ["lone text of its own"] * 50
+    docs = frame(spark, texts, [None] * 2000 + [7] * 50)
+    seen = []
+    monkeypatch.setattr(ngram_join, "cut", lambda df: seen.append(real := support.cut(df)) or real)
+    got = collections.Counter(tuple(r) for r in ngram_join.ngram_join(docs).select("n_shingles", "component_id", "n_links").collect())
+    assert got == {(57, None, 1999): 2000, (1, 7, 49): 50}
+    assert max(df.count() for df in seen) <= 2050
+
+
+def test_ngram_join_crowds(spark):
+    """Thousands of near copies, of which each list gives too many pairs, among unlike texts with their passage."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(80)]
+    near = [" ".join([*passage[:k], f"x{rng.randrange(300)}", *passage[k:]]) for k in (rng.randrange(80) for _ in range(400))]
+    unlike = [" ".join([*passage[:40], *(f"y{i}-{j}" for j in range(40))]) for i in range(60)]
+    texts = near + unlike
+    want = plain_links(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.ngram_join(frame(spark, texts), hot=8, block=64).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_meet_in_bounded_pieces(monkeypatch):
+    """One shingle that very many groups hold: pieces of the output stay small, and no pair that could link is lost."""
+    monkeypatch.setattr(ngram_join, "_CHUNK", 1000)
+    rng = np.random.default_rng(4)
+    n = 3000
+    x = np.zeros(2 * n, ngram_join._POSTING)
+    x["t"], x["g"] = np.repeat([5, 9], n), np.tile(np.arange(n), 2)
+    size, place = rng.integers(20, 200, n), rng.integers(0, 40, 2 * n)
+    x["n"], x["i"] = np.tile(size, 2), np.minimum(place, np.tile(size, 2) - 1)
+    batch = pa.RecordBatch.from_arrays([pa.array([ngram_join.by_column(x)], pa.binary())], ["blob"])
+    for hot in (10**6, 1):
+        out = list(ngram_join._meet(80, hot)(iter([batch])))
+        assert max(b.num_rows for b in out) <= 1000 + n
+        edges = [(a, b) for o in out for a, b in zip(o.column("g1").to_pylist(), o.column("g2").to_pylist(), strict=True)]
+        label = ngram_join.least_labels(n, *np.array(edges).T)
+        rest = x["n"].astype(int) - x["i"]
+        for t in (0, n):
+            g, m, r = np.arange(n), size, rest[t : t + n]
+            a, b = rng.integers(0, n, 4000), rng.integers(0, n, 4000)
+            low, high = np.minimum(m[a], m[b]), np.maximum(m[a], m[b])
+            could = (a != b) & (80 * high <= 100 * low) & (np.minimum(r[a], r[b]) >= -(-80 * (low + high) // 180))
+            assert could.sum() > 50 and (label[g[a[could]]] == label[g[b[could]]]).all()
+            if hot > 1:
+                assert {tuple(sorted(e)) for e in zip(a[could].tolist(), b[could].tolist(), strict=True)} <= set(edges)
+
+
+def test_least_labels():
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    want = {n: n for n in range(300)} | _roots(edges)
+    assert ngram_join.least_labels(300, *np.array(edges).T).tolist() == [want[n] for n in range(300)]
+    assert ngram_join.least_labels(3, np.zeros(0, int), np.zeros(0, int)).tolist() == [0, 1, 2]
+
+
 def test_prefix_lengths():
     """Sets that link share a shingle of their prefixes, at the least overlap."""
     for n in range(1, 60):
@@ -117,11 +176,20 @@ def test_prefix_lengths():
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(0, 40) if i % 13] + [(100, 3), (50, 50), (7, 3)]
-    got = {r["node"]: r["root"] for r in support.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    want = {n: min(g) for g in ([*range(1, 14), 100], range(14, 27), range(27, 40), [40]) for n in g if n != 40}
-    want |= {40: 39} if False else {}
-    assert {k: v for k, v in got.items() if k not in (40, 39)} == {k: v for k, v in want.items() if k not in (40, 39)}
+    edges = [(i, i + 1) for i in range(0, 40) if i % 13] + [(100, 3), (50, 50), (7, 3)] + [(200, 200 + i) for i in range(1, 60)]
+    for small in (500_000, 3):
+        got = {r["node"]: r["root"] for r in support.components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
+        assert got == _roots(edges)
+    assert support.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _roots(edges):
+    root = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    return root
 
 
 def plain_dedup(texts, ids, k=13):
@@ -167,7 +235,7 @@ def test_dedup_by_batches(spark):
 def test_pack():
     rng = np.random.default_rng(1)
     for values in (np.zeros(0, np.uint64), np.array([5], np.uint64), np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64)), np.array([0, 2**64 - 1], np.uint64)):
-        tags = (values & np.uint64(255)).astype(np.uint8)
+        tags = (values & np.uint64(0xFFFFFF)).astype(np.uint32)
         a, b = substring_dedup.unpack(substring_dedup.pack(values, tags))
         assert (a == values).all() and (b == tags).all()
 
@@ -192,9 +260,9 @@ def plain_hits(texts, items, k=13):
     return out
 
 
-@pytest.mark.parametrize("limits", [(1 << 22, 2_000_000, 2_000_000), (200, 3, 40)])
+@pytest.mark.parametrize("limits", [(1 << 21, 2_000_000), (200, 40)])
 def test_decontaminate(spark, monkeypatch, limits):
-    for name, value in zip(("SEGMENT", "VOCABULARY", "QUERY_WORDS"), limits, strict=True):
+    for name, value in zip(("SEGMENT", "QUERY_WORDS"), limits, strict=True):
         monkeypatch.setattr(dc, name, value)
     texts = corpus(100)
     items = [(i, " ".join((texts[j] or "").split()[:n]).upper()) for i, (j, n) in enumerate([(20, 13), (30, 40), (40, 5), (50, 14), (60, 200), (3, 1), (1, 3)])] + [(10, None), (None, "a b"), (2, "b C d")]
@@ -208,6 +276,18 @@ def test_decontaminate(spark, monkeypatch, limits):
     assert dc.decontaminate(frame(spark, texts), bench.limit(0)).where("n_hit > 0 or contaminated").count() == 0
 
 
+def test_an_index_serves_any_benchmark(spark):
+    """The stored index holds all terms, so it is searched for items that nobody knew when it was built."""
+    texts = corpus(60)
+    index = dc.build_index(frame(spark, texts))
+    for j in (20, 33):
+        items = [("7", re.findall(ALNUM, lower(texts[j] or ""))[:30])]
+        hashed = dc._hashed([{"item": "7", "text": " ".join(items[0][1])}])
+        rows = index.mapInArrow(dc._search(hashed, 13, None), dc.HITS).collect()
+        want = plain_hits(texts, [("7", " ".join(items[0][1]))])
+        assert {r["doc_id"]: r["items"] for r in rows} == {i: w[2] for i, w in enumerate(want)} and any(w[2] for w in want)
+
+
 def test_proximity(spark):
     docs = frame(spark, ["alpha x x beta", "beta y alpha", "alpha x x x x x beta", "alpha", "beta"])
     bench = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
@@ -248,6 +328,60 @@ def test_robust_outliers(spark):
     assert quality_rules.quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 
 
+def plain_mcd(x, floors, rng, keep=0.75, starts=30):
+    """Minimum covariance determinant from random starts, each until nothing changes, and one reweighting."""
+    n, d = x.shape
+    best = None
+    for _ in range(starts):
+        inside = rng.choice(n, d + 2, replace=False)
+        for _ in range(100):
+            mean, cov = x[inside].mean(0), np.cov(x[inside].T, bias=True) + np.diag(floors**2)
+            far = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            new = np.sort(np.argsort(far, kind="stable")[: int(np.ceil(keep * n))])
+            if len(new) == len(inside) and (new == inside).all():
+                break
+            inside = new
+        size = np.linalg.slogdet(np.cov(x[inside].T, bias=True) + np.diag(floors**2))[1]
+        if best is None or size < best[0]:
+            best = (size, inside)
+    q = quality_rules.chi2_quantile
+    spread = keep / quality_rules.chi2_cdf(q(keep, d), d + 2)
+    mean, cov = x[best[1]].mean(0), np.cov(x[best[1]].T, bias=True) * spread + np.diag(floors**2)
+    far = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    near = x[far <= q(0.975, d)]
+    spread = 0.975 / quality_rules.chi2_cdf(q(0.975, d), d + 2)
+    mean, cov = near.mean(0), np.cov(near.T, bias=True) * spread + np.diag(floors**2)
+    return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+
+def test_robust_outliers_agree_with_a_plain_mcd(spark):
+    """Verdicts of one group of 1000 with 150 planted outliers are those of the plain estimate, but for a few at the cut."""
+    rng = random.Random(15)
+    word = lambda: "abcdefghijkl"[: rng.randrange(2, 9)].capitalize() if rng.random() < 0.1 else "abcdefghijkl"[: rng.randrange(2, 9)] + str(rng.randrange(10**4))
+    usual = [" ".join(word() for _ in range(int(rng.lognormvariate(4.5, 0.4)) + 20)) for _ in range(850)]
+    planted = [t.upper() for t in usual[:50]] + [" ".join(f"{w} #$ |" for w in t.split()) for t in usual[50:100]] + ["\n".join([t] * 3 + usual[200 + i : 210 + i]) for i, t in enumerate(usual[100:150])]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(usual + planted)], "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(docs).collect()}
+    rows = quality_rules.statistics(docs).where("not base_failed").selectExpr("doc_id", *(f"{e} as {x}" for x, (e, _) in quality_rules.FEATURES.items())).toPandas()
+    far = plain_mcd(rows[list(quality_rules.FEATURES)].to_numpy(), np.array([f for _, f in quality_rules.FEATURES.values()]), np.random.default_rng(1))
+    plain = dict(zip(rows["doc_id"], far <= quality_rules.chi2_quantile(0.999, 6), strict=True))
+    assert sum(kept[i] == plain[i] for i in plain) >= 0.99 * len(plain)
+    assert sum(kept[i] for i in range(850, 950)) == 0 and sum(kept[i] for i in range(850)) >= 840
+
+
+def test_quality_rules_ties_and_hot_groups(spark, monkeypatch):
+    """Rows that are all alike are all kept; tables by group that are not broadcast give the same verdicts."""
+    rng = random.Random(16)
+    line = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, line, "en", "s") for i in range(120)] + [(200 + i, " ".join(f"v{rng.randrange(99)}" for _ in range(rng.randrange(25, 90))), "en", f"s{i % 3}") for i in range(300)] + [(900, line + " #" * 30, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("distance", F.lit("clash")).withColumn("g", F.lit("clash"))
+    got = {r["doc_id"]: (r["kept"], r["distance"]) for r in quality_rules.quality_rules(docs).collect()}
+    assert len({got[i] for i in range(120)}) == 1 and got[0][0] and not got[900][0]
+    monkeypatch.setattr(quality_rules, "GROUPS", 0)
+    again = {r["doc_id"]: (r["kept"], r["distance"]) for r in quality_rules.quality_rules(docs.repartition(9)).collect()}
+    assert all(got[i][0] == again[i][0] and got[i][1] == pytest.approx(again[i][1]) for i in got)
+
+
 def test_repeats_are_outliers(spark):
     """Repeated lines and passages count under the base rule's limit; one repeated line does not."""
     rng = random.Random(7)
@@ -308,30 +442,92 @@ def test_language_margin(spark):
     assert not any(got[i] for i in range(1, 80, 2))
 
 
-def test_toxicity_learns_pairs(spark):
-    """Neither word alone decides: only the pair is toxic."""
-    rng = random.Random(8)
+def plain_machine(machine, texts):
+    """Scores by the definition of a factorization machine: bias, weights and products of all pairs, one by one."""
+    out = []
+    for t in texts:
+        terms = sorted({int(x) for _, _, ts in toxicity.text_terms(pa.array([t], pa.string())) for x in ts})
+        held = [int(np.searchsorted(machine.bins, x)) for x in terms if x in set(machine.bins.tolist())]
+        total = machine.bias + sum(machine.weight[i] for i in held)
+        total += sum(float(machine.factor[i] @ machine.factor[j]) for a, i in enumerate(held) for j in held[:a])
+        out.append(1 / (1 + np.exp(-total)))
+    return out
+
+
+def _exclusive(seed, n):
+    rng = random.Random(seed)
     rows, labels = [], []
-    for i in range(800):
+    for i in range(n):
         a, b = rng.random() < 0.5, rng.random() < 0.5
         words = rng.choices(["plain", "talk", "about", "nothing", "much"], k=12) + ["grumble"] * a + ["people"] * b
         rng.shuffle(words)
         rows.append((i, " ".join(words), "en", "s"))
-        labels.append((i, None, int(a and b)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        labels.append((i, None, int(a != b)))
+    return rows, labels
+
+
+def test_toxicity_learns_pairs(spark):
+    """Either word alone is toxic and both together are not, which no sum of weights can tell."""
+    rows, labels = _exclusive(8, 1600)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"score": F.lit("clash"), "predicted": F.lit("clash")})
     labelled = spark.createDataFrame([*labels, (3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    machine = toxicity.train(learning.labelled_sample(docs.where("doc_id < 600"), labelled, "toxic", 500), epochs=40)
-    again = toxicity.train(learning.labelled_sample(docs.where("doc_id < 600").repartition(7), labelled, "toxic", 500), epochs=40)
+    sample = lambda d: learning.labelled_sample(d.where("doc_id < 1200"), labelled, "toxic", 1000)
+    machine = toxicity.train(sample(docs), epochs=60)
+    again = toxicity.train(sample(docs.repartition(7)), epochs=60)
     assert (machine.weight == again.weight).all() and (machine.factor == again.factor).all()
-    more = docs.unionByName(spark.createDataFrame([(None, None, None, None), (9000, "", None, None)], docs.schema))
+    more = docs.unionByName(spark.createDataFrame([(None, None, None, None), (9000, "", None, None), (9001, "grumble " * 400_000, None, None)], "doc_id long, text string, lang string, source string"), allowMissingColumns=True)
     got = {r["doc_id"]: r for r in toxicity.toxicity(more, machine).collect()}
-    right = sum(got[i]["predicted"] == labels[i][2] for i in range(600, 800))
-    assert right >= 190 and got[None]["predicted"] == 0 and 0 <= got[9000]["score"] <= 1
+    right = lambda by: sum(by[i] == labels[i][2] for i in range(1200, 1600))
+    assert right({i: r["predicted"] for i, r in got.items()}) >= 390 and got[None]["predicted"] in (0, 1) and 0 <= got[9000]["score"] <= 1 and got[9001]["predicted"] == 1
+    additive = toxicity.train(sample(docs), factors=0, epochs=60)
+    plain = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, additive).collect()}
+    assert right(plain) <= 320
+    some = [r[1] for r in rows[1200:1230]]
+    assert [got[1200 + i]["score"] for i in range(30)] == pytest.approx(plain_machine(machine, some), abs=1e-9)
     empty = toxicity.train(learning.labelled_sample(docs.limit(0), labelled, "toxic", 500))
     assert {r["predicted"] for r in toxicity.toxicity(docs.limit(3), empty).collect()} == {0}
     assert toxicity.toxicity(docs.limit(0), machine).count() == 0
 
 
+def test_samples_are_bounded_by_rows(spark):
+    """An id that very many rows share, alike or not, brings no more rows than asked for."""
+    rows = [(1, "same")] * 500 + [(2, f"text {i}") for i in range(500)] + [(3, "three"), (4, None), (None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 0), (4, 0), (None, 1), (5, 1)], "doc_id long, toxic int")
+    got = collections.Counter(tuple(r) for r in learning.labelled_sample(docs, labels, "toxic", 10).collect())
+    assert sum(n for (_, y), n in got.items() if y == 1) == 10 and got[("three", 0)] == 1 and max(got.values()) == 1
+    assert got == collections.Counter(tuple(r) for r in learning.labelled_sample(docs.repartition(3), labels, "toxic", 10).collect())
+
+
+def plain_language(text, dictionaries, margin=0.05):
+    letters = language_id.normal(text)
+    if not letters:
+        return "und", True
+    sizes = {}
+    for name, content in dictionaries.items():
+        d = zstandard.ZstdCompressionDict(b" " * 8 + content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        sizes[name] = sum(len(zstandard.ZstdCompressor(level=9, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(letters[i : i + 4096])) for i in range(0, len(letters), 4096))
+    first = min(sizes, key=lambda n: (sizes[n], list(sizes).index(n)))
+    others = [v for n, v in sizes.items() if n != first]
+    return first, bool(others) and (min(others) <= sizes[first] or min(others) < sizes[first] * (1 + margin))
+
+
+def test_language_agrees_with_plain_zstandard(spark):
+    """Texts of many chunks, repeated rows, and ties between dictionaries."""
+    rng = random.Random(12)
+    text = lambda k, n: " ".join("".join(rng.choices(k, k=rng.randrange(1, 4))) for _ in range(n))
+    kinds = {"aa": ["the", "ing", "ou"], "bb": ["sch", "ung", "ein"]}
+    learned = [(i, text(kinds[k], 40), k) for i, k in enumerate(["aa", "bb", "aa"] * 40)]
+    dictionaries = language_id.learn(spark.createDataFrame(learned, "doc_id long, text string, lang string"))
+    dictionaries["twin"] = dictionaries["aa"]  # a tie: the first wins, and is rejected
+    texts = [text(kinds["bb"], 9000), text(kinds["aa"], 4000) + text(kinds["bb"], 4000), *[text(kinds["bb"], 30)] * 3, text(kinds["aa"], 30), "a", "", "1 2 3", "schung " * 50_000]
+    got = [(r["lang_pred"], r["rejected"]) for r in language_id.language_id(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), dictionaries).orderBy("doc_id").collect()]
+    assert got == [plain_language(t, dictionaries) for t in texts]
+    assert got[0] == ("bb", False) and got[5] == ("aa", True) and len(set(got[2:5])) == 1
+    few = language_id.learn(spark.createDataFrame(learned, "doc_id long, text string, lang string"), languages=1)
+    assert list(few) == ["aa"]
+
+
 def test_neighbours(spark):
     rng = random.Random(9)
     good = lambda: " ".join(rng.choice(WORDS) for _ in range(40)) + "."
