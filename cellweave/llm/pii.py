@@ -319,7 +319,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     if not key:
         raise ValueError("a key is needed")
     docs = docs.drop("n_entities", "entity_kinds")
-    held = cut(_found(docs.select("text")).where(F.size("_found") > 0).select(F.xxhash64("text").alias("_of"), F.explode(F.array_distinct(F.flatten(F.transform("_found", _units)))).alias("unit")).distinct())
+    held = cut(_found(docs.select("text")).select(F.xxhash64("text").alias("_of"), F.explode(F.array_distinct(F.flatten(F.transform("_found", _units)))).alias("unit")).distinct())
     turns = cut(turns_of(held.select("unit").distinct(), key))
     turns = held.join(turns, "unit").groupBy("_of").agg(F.map_from_entries(F.collect_list(F.struct("unit", "turn"))).alias("_turns"))
     turns = cut(turns)
