@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .support import components, cut, width
+from .support import components, cut, least_labels, width
 
 _POSTING = np.dtype([("t", "u8"), ("g", "u8"), ("n", "u4"), ("i", "u4")])
 _DOC = np.dtype([("d", "i8"), ("null", "u1"), ("n", "u4"), ("g", "u8"), ("s", "u8"), ("h", "i8")])
@@ -115,8 +115,8 @@ def _count_often(k: int, least: int):
 def often_ranked(docs: DataFrame, k: int, least: int = 3) -> np.ndarray:
     """Hashes of shingles that many sets hold, rarest first; RANKED at most, by count."""
     counted = docs.select("text").mapInArrow(_count_often(k, least), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= 2 * least)
-    rows = counted.orderBy(F.desc("c"), "h").limit(RANKED).toPandas()
-    return rows["h"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
+    rows = counted.orderBy(F.desc("c"), "h").limit(RANKED).select("h").toArrow()
+    return rows.column("h").to_numpy().view(np.uint64)[::-1].copy()
 
 
 class Order:
@@ -359,20 +359,6 @@ class Rows:
         return self._similar(both, self.size[left][:, None], self.size[right][None, :], percent)
 
 
-def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest of 0 to n - 1 that each is connected with by the edges (a, b)."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], least)
-        np.minimum.at(new, label[b], least)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _verify(percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Links of the pairs given, or else between two blocks or within one: forest edges and link counts (a = b)."""
 

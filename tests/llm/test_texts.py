@@ -175,6 +175,16 @@ def test_prefix_lengths():
                 assert need > n - ngram_join.prefix_length(n, 80) and need > m - ngram_join.prefix_length(m, 80)
 
 
+def test_few_components_take_no_rounds(spark, monkeypatch):
+    """A long path over several partitions is solved by one task: nothing is stored on the way."""
+    order = random.Random(8).sample(range(3000), 3000)
+    edges = spark.createDataFrame(list(zip(order, order[1:], strict=False)) + [(5000, 5001)], "a long, b long").repartition(7)
+    cuts = []
+    monkeypatch.setattr(support, "cut", lambda df: cuts.append(df) or df)
+    got = {r["node"]: r["root"] for r in support.components(edges).collect()}
+    assert got == dict.fromkeys(order, 0) | {5000: 5000, 5001: 5000} and not cuts
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40) if i % 13] + [(100, 3), (50, 50), (7, 3)] + [(200, 200 + i) for i in range(1, 60)]
     for small in (500_000, 3):
