@@ -3,12 +3,14 @@
 Shingles of each document are put in one global order, rare ones first.  Two
 sets with Jaccard similarity t or more share a shingle among their first
 n - ceil(t*n) + 1, and the first shingle that they share leaves enough of both
-sets to reach the overlap that t asks for.
+sets to reach the overlap that t asks for.  If that is o, the first l shingles
+that they share each leave o - l + 1 at least, so l of those are asked for, as many
+as the prefixes allow (`SHARED` at most): chance gives unlike sets one or two.
 
 1. Documents with the same prefix and size form a group, and only groups are
    listed, with the place of the shingle; copies never meet one by one.
-2. Groups of a list pair up if their sizes and places allow the overlap.  A list
-   that would give more than `hot` pairs for each of its groups gives a chain
+2. Groups of a list pair up if their sizes and places allow the overlap, and stay
+   if they do so in enough lists.  A list that would give more than `hot` pairs for each of its groups gives a chain
    through those groups that could pair; so does a group of more than `hot` sets.
    What chains tie together is a crowd.
 3. All other pairs of groups are expanded to pairs of their members (distinct
@@ -35,6 +37,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 from . import textops as T
 from .support import components, cut, least_labels, width
 
-_POSTING = np.dtype([("t", "u8"), ("g", "u8"), ("n", "u4"), ("i", "u4")])
+_POSTING = np.dtype([("t", "u4"), ("g", "u8"), ("n", "u4"), ("i", "u4")])
 _DOC = np.dtype([("d", "i8"), ("null", "u1"), ("n", "u4"), ("g", "u8"), ("s", "u8"), ("h", "i8")])
 _CHUNK = 1 << 20  # shingles, postings or pairs handled together
 _COUNTED = 1 << 23  # shingles counted together
@@ -50,6 +53,7 @@ _SEEN = 1 << 18  # sets remembered by a task to skip copies
 _SENT = 64 << 20  # bytes of a table that is broadcast, at most
 RANKED = 200_000  # shingles with a rank by count
 ELEMENTS = 1_000_000  # shingles of a block
+SHARED = 8  # shingles that the prefixes of a pair must share, at most
 WORK = 32  # shingles that a task for pairs looks up, for each that it holds
 
 
@@ -157,12 +161,14 @@ def _index(k: int, percent: int, buckets: int, ranked: np.ndarray):
 
         def postings() -> pa.RecordBatch:
             out = np.empty(size, _POSTING)
-            out["t"] = np.concatenate([x[0] for x in held])
+            held.sort(key=lambda x: x[1])
+            tokens = T.mix(np.concatenate([x[0] for x in held]))
+            out["t"] = tokens >> np.uint64(32)  # shingles that agree in bucket and these bits only add pairs to verify
             lengths = [len(x[0]) for x in held]
             out["g"] = np.repeat(np.array([x[1] for x in held], np.uint64), lengths)
             out["n"] = np.repeat(np.array([x[2] for x in held], np.uint32), lengths)
             out["i"] = np.concatenate([np.arange(n, dtype=np.uint32) for n in lengths])
-            return rows(0, (T.mix(out["t"]) % np.uint64(buckets)).astype(np.int64), out)
+            return rows(0, (tokens % np.uint64(buckets)).astype(np.int64), out)
 
         for batch in batches:
             ids = T.column(batch, "doc_id")
@@ -177,7 +183,7 @@ def _index(k: int, percent: int, buckets: int, ranked: np.ndarray):
                 p = prefix_length(n, percent)
                 keys = order.keys(s)
                 prefix = np.sort(np.partition(keys, p - 1)[:p] if p < n else keys)
-                group = T.mix(T.windows(prefix, p) + np.uint64(n))[0]
+                group = np.uint64(min(n, 0xFFFF) << 48) | T.mix(T.windows(prefix, p) + np.uint64(n))[0] >> np.uint64(16)
                 docs["n"][i], docs["g"][i], docs["s"][i] = n, group, set_id(s)
                 if int(group) not in seen:
                     if len(seen) >= _SEEN:
@@ -199,16 +205,18 @@ def _index(k: int, percent: int, buckets: int, ranked: np.ndarray):
 
 
 def by_column(rows: np.ndarray) -> bytes:
-    """The fields one after the other: a group's postings repeat most of theirs, which the shuffle packs."""
-    return b"".join(np.ascontiguousarray(rows[f]).tobytes() for f in rows.dtype.names)
+    """The fields one after the other, each by the place of its bytes, packed: of sorted ones the high bytes repeat."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(rows[f]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for f in rows.dtype.names), 1)
 
 
 def from_columns(blob: memoryview, kind: np.dtype) -> np.ndarray:
-    n, at = len(blob) // kind.itemsize, 0
+    data = zstandard.decompress(blob)
+    n, at = len(data) // kind.itemsize, 0
     out = np.empty(n, kind)
     for f in kind.names:
-        out[f] = np.frombuffer(blob, kind[f], n, at)
-        at += n * kind[f].itemsize
+        size = kind[f].itemsize
+        out[f] = np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind[f]).ravel()
+        at += n * size
     return out
 
 
@@ -237,11 +245,18 @@ def spread_out(counts: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.
         low = high
 
 
-def _ties(g: np.ndarray, h: np.ndarray, crowd: bool) -> pa.RecordBatch:
-    """Distinct pairs of groups."""
+def least_rest(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """What those shingles that are counted leave of each of two sets at least; more than it, up to the least overlap, is their number."""
+    return np.maximum(least_overlap(n, m, percent) - SHARED + 1, (percent * np.maximum(n, m) + 99) // 100)
+
+
+def _ties(g: np.ndarray, h: np.ndarray, need: np.ndarray | None = None) -> pa.RecordBatch:
+    """Distinct pairs of groups, in how many lists they met, and in how many they must; none for a crowd."""
     a, b = np.minimum(g, h), np.maximum(g, h)
-    at = np.unique(T.mix(a) ^ b, return_index=True)[1]
-    return pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64)), pa.array(np.full(len(at), crowd))], ["g1", "g2", "crowd"])
+    _, at, shared = np.unique(T.mix(a) ^ b, return_index=True, return_counts=True)
+    crowd = need is None
+    need = np.zeros(len(at), np.int32) if crowd else need[at].astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64)), pa.array(np.full(len(at), crowd)), pa.array(shared.astype(np.int32)), pa.array(need)], ["g1", "g2", "crowd", "shared", "need"])
 
 
 def _meet(percent: int, hot: int):
@@ -256,9 +271,9 @@ def _meet(percent: int, hot: int):
         more[:-1] |= more[1:]
         x = x[by[more]]  # shingles that one group only has are most
         del by, token, more
-        x = x[np.lexsort((x["g"], x["n"], x["t"]))]
+        x = x[np.lexsort((x["i"], x["g"], x["n"], x["t"]))]
         fresh = np.ones(len(x), bool)
-        fresh[1:] = (x["t"][1:] != x["t"][:-1]) | (x["g"][1:] != x["g"][:-1])
+        fresh[1:] = (x["t"][1:] != x["t"][:-1]) | (x["g"][1:] != x["g"][:-1]) | (x["i"][1:] != x["i"][:-1])
         x = x[fresh]
         if not len(x):
             return
@@ -272,7 +287,7 @@ def _meet(percent: int, hot: int):
         first = np.flatnonzero(opens)
         length = np.diff(np.append(first, len(g)))
         # The smaller set of a pair (listed first) leaves enough even for one of its own size.
-        leads = rest >= least_overlap(n, n, percent)
+        leads = rest >= least_rest(n, n, percent)
         end = np.searchsorted((list_of << 32) + n, (list_of << 32) + 100 * n // percent, "right")
         count = np.where(leads, end - place - 1, 0)
         crowded = np.add.reduceat(count, first) > hot * length
@@ -282,13 +297,15 @@ def _meet(percent: int, hot: int):
         tied = tied[percent * n[tied] <= 100 * n[lead[tied]]]
         for low in range(0, len(tied), _CHUNK):
             part = tied[low : low + _CHUNK]
-            yield _ties(g[lead[part]], g[part], True)
+            yield _ties(g[lead[part]], g[part])
         open_ = np.flatnonzero((count > 0) & ~crowded[list_of])
         for i, k in spread_out(count[open_], _CHUNK):
             i = open_[i]
             j = i + 1 + k
-            fits = np.minimum(rest[i], rest[j]) >= least_overlap(n[i], n[j], percent)
-            yield _ties(g[i[fits]], g[j[fits]], False)
+            least = least_rest(n[i], n[j], percent)
+            fits = (np.minimum(rest[i], rest[j]) >= least) & (g[i] != g[j])
+            i, j, least = i[fits], j[fits], least[fits]
+            yield _ties(g[i], g[j], least_overlap(n[i], n[j], percent) - least + 1)
         T.give_back()
 
     return run
@@ -411,8 +428,9 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, hot: int = 64, bl
     index = docs.mapInArrow(_index(k, percent, buckets, often_ranked(docs, k)), "kind int, bucket int, blob binary").persist(StorageLevel.DISK_ONLY)
     try:
         rows = cut(index.where("kind = 1").select("blob").mapInArrow(_unpack_docs, "doc_id long, n long, g long, s long, text_hash long"))
-        met = index.where("kind = 0").select("bucket", "blob").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(percent, hot), "g1 long, g2 long, crowd boolean")
-        met = cut(met.groupBy("g1", "g2").agg(F.max("crowd").alias("crowd")))
+        met = index.where("kind = 0").select("bucket", "blob").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(percent, hot), "g1 long, g2 long, crowd boolean, shared int, need int")
+        met = met.groupBy("g1", "g2").agg(F.max("crowd").alias("crowd"), F.sum("shared").alias("shared"), F.max("need").alias("need"))
+        met = cut(met.where("crowd or shared >= need").select("g1", "g2", "crowd"))
     finally:
         index.unpersist()
     texts = rows.where("n > 0").groupBy("doc_id", "text_hash", "g", "s", "n").agg(F.count("*").alias("copies"))

@@ -158,6 +158,53 @@ def test_meet_in_bounded_pieces(monkeypatch):
                 assert {tuple(sorted(e)) for e in zip(a[could].tolist(), b[could].tolist(), strict=True)} <= set(edges)
 
 
+def test_pairs_share_enough_of_their_prefixes(spark, monkeypatch):
+    """Unlike texts that share one rare shingle each with each are not verified; those that link share all that is asked for."""
+    words = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    texts = [" ".join([words(f"a{i}x", 40), words("common", 5), words(f"b{i}x", 40)]) for i in range(40)]
+    texts += [f"{words('near', 60)} {words(f'end{i}x', 1 + i % 3)}" for i in range(6)]
+    seen = []
+    tasks = ngram_join._tasks
+    monkeypatch.setattr(ngram_join, "_tasks", lambda pairs: seen.append(pairs.count()) or tasks(pairs))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.ngram_join(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_links(texts)
+    assert seen == [15]
+    rng = np.random.default_rng(5)
+    for percent in (60, 80, 100):
+        for _ in range(500):
+            n = int(rng.integers(1, 150))
+            m = int(rng.integers(n, 100 * n // percent + 1))
+            both = int(ngram_join.least_overlap(np.array(n), np.array(m), percent))
+            order = rng.permutation(n + m - both)
+            a, b = (np.sort(x) for x in (order[:n], np.concatenate([order[:both], order[n:]])))
+            shared = np.intersect1d(a, b)
+            rest = np.minimum(n - np.searchsorted(a, shared), m - np.searchsorted(b, shared))
+            least = int(ngram_join.least_rest(np.array(n), np.array(m), percent))
+            assert (rest >= least).sum() >= both - least + 1 >= 1
+            assert n - ngram_join.prefix_length(n, percent) < least and m - ngram_join.prefix_length(m, percent) < least
+
+
+def test_shingles_of_one_token_lose_no_pair():
+    """Shingles that agree in all bits sent are counted for each place, and no group meets itself."""
+    x = np.zeros(4, ngram_join._POSTING)
+    x["t"], x["g"], x["n"], x["i"] = 7, [1, 1, 2, 2], 50, [0, 3, 1, 2]
+    batch = pa.RecordBatch.from_arrays([pa.array([ngram_join.by_column(x)], pa.binary())], ["blob"])
+    (out,) = ngram_join._meet(80, 64)(iter([batch]))
+    assert out.select(["g1", "g2", "crowd"]).to_pylist() == [{"g1": 1, "g2": 2, "crowd": False}] and out.column("shared").to_pylist()[0] >= 2
+
+
+def test_postings_are_packed():
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(200, 900))) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts), pa.array(range(300), pa.int64())], ["doc_id", "text", "text_hash"])
+    rows = [r for b in ngram_join._index(5, 80, 2, np.zeros(0, np.uint64))(iter([batch])) for r in b.to_pylist()]
+    sent = [r["blob"] for r in rows if r["kind"] == 0]
+    postings = np.concatenate([ngram_join.from_columns(b, ngram_join._POSTING) for b in sent])
+    sizes = [len(t.split()) - 4 for t in texts]
+    assert sorted(postings["n"].tolist()) == sorted(n for n in sizes for _ in range(ngram_join.prefix_length(n, 80)))
+    assert sum(map(len, sent)) < 14 * len(postings)
+
+
 def test_least_labels():
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
